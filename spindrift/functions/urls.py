@@ -6,32 +6,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The generic URI expression of RFC 3986, appendix B, with the
-# scheme held to its own grammar, and the authority's host and port.
-URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?"
-AUTHORITY_HOST = r"^(?:.*@)?(\[[^\]]*\]|[^:@]*)(?::\d*)?$"
+# scheme held to its own grammar; and the host and port within an authority.
+URI = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?"
+AUTHORITY_HOST = r"^//(?:.*@)?(\[[^\]]*\]|[^:@]*)(?::\d*)?$"
 AUTHORITY_PORT = r":(\d+)$"
 
+MAX_LENGTH = 2**31 - 1
+
 SUPPORTED_SCHEMES = ("http", "https")
 
 
-def _unset(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+COMPONENTS = ("scheme", "authority", "path", "query", "fragment")
+
+
+def unset(col: Column) -> Column:
+    return F.when(col != "", col)
 
 
 def raw_parts(url: Column) -> dict[str, Column]:
-    """The five components as written; ``''`` where missing.
+    """The five components with the marks that set them apart; ``''`` where missing.
 
-    ``query`` and ``fragment`` keep their ``?`` and ``#``, so an empty query can
-    be told from a missing one.
+    Put together in order they give the URL back.
     """
-    names = ("scheme", "authority", "path", "query", "fragment")
-    return {name: F.regexp_extract(url, URI, i) for i, name in enumerate(names, 1)}
+    return {name: F.regexp_extract(url, URI, i) for i, name in enumerate(COMPONENTS, 1)}
+
+
+def raw_struct(url: Column) -> Column:
+    return F.struct(*[part.alias(name) for name, part in raw_parts(url).items()])
+
+
+def scheme_of(marked: Column) -> Column:
+    """Scheme in lower case from one with its colon."""
+    return unset(F.lower(F.rtrim(marked, F.lit(":"))))
 
 
 def authority_host(authority: Column) -> Column:
     return F.regexp_extract(authority, AUTHORITY_HOST, 1)
 
 
+def host_of(authority: Column) -> Column:
+    """Host in lower case, without user and port, from an authority with its slashes."""
+    return unset(F.lower(authority_host(authority)))
+
+
+def unmarked(part: Column) -> Column:
+    """A query or fragment without its mark."""
+    return unset(F.substring(part, 2, MAX_LENGTH))
+
+
 def url_parts(url: Column) -> Column:
     """Struct of scheme, host, port, path, query and fragment; NULL where missing.
 
@@ -39,17 +61,17 @@ def url_parts(url: Column) -> Column:
     """
     raw = raw_parts(url)
     return F.struct(
-        _unset(F.lower(raw["scheme"])).alias("scheme"),
-        url_host(url).alias("host"),
-        _unset(F.regexp_extract(raw["authority"], AUTHORITY_PORT, 1)).try_cast("int").alias("port"),
-        _unset(raw["path"]).alias("path"),
-        _unset(F.substring(raw["query"], 2, 2**31 - 1)).alias("query"),
-        _unset(F.substring(raw["fragment"], 2, 2**31 - 1)).alias("fragment"),
+        scheme_of(raw["scheme"]).alias("scheme"),
+        host_of(raw["authority"]).alias("host"),
+        unset(F.regexp_extract(raw["authority"], AUTHORITY_PORT, 1)).try_cast("int").alias("port"),
+        unset(raw["path"]).alias("path"),
+        unmarked(raw["query"]).alias("query"),
+        unmarked(raw["fragment"]).alias("fragment"),
     )
 
 
 def url_host(url: Column) -> Column:
-    return _unset(F.lower(authority_host(F.regexp_extract(url, URI, 2))))
+    return host_of(F.regexp_extract(url, URI, 2))
 
 
 def page_url(scheme: Column, host: Column, path: Column) -> Column:

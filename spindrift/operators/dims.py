@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spindrift.session import cut_lineage
+
 # Schemes whose ids never change.
 FIXED_PROTOCOLS = ((0, "http"), (1, "https"))
 DIM_SCHEMA = "id bigint, name string"
@@ -22,9 +24,11 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[str | Column],
 
     Buckets are numbered in parallel and shifted by the sizes of the buckets
     before them.  The one unpartitioned window reads one row per bucket, so the
-    caller must bound the number of buckets.
+    caller must bound the number of buckets.  The rows are written once to the
+    shared folder, as both passes need them and work that led to them must not
+    be done twice.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    tagged = cut_lineage(df.withColumn("_bucket", bucket))
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy("_bucket")
@@ -108,8 +112,8 @@ def _substrings(values: DataFrame, col: str, lengths: Column) -> DataFrame:
         starts = F.sequence(F.lit(1), size - n + 1)
         return F.when(n <= size, F.transform(starts, lambda i: F.substr(F.col(col), i, n)))
 
-    grams = F.array_distinct(F.flatten(F.filter(F.transform(lengths, cuts), lambda a: a.isNotNull())))
-    return values.withColumn("gram", F.explode(grams))
+    grams = F.array_distinct(F.flatten(F.filter(F.transform("_lengths", cuts), lambda a: a.isNotNull())))
+    return values.withColumn("_lengths", lengths).withColumn("gram", F.explode(grams)).drop("_lengths")
 
 
 def content_type_ids(dim: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spindrift.functions.urls import (
+    COMPONENTS,
     SUPPORTED_SCHEMES,
     authority_host,
     directory_name,
+    host_of,
     raw_parts,
+    raw_struct,
     remove_dot_segments,
-    url_parts,
+    scheme_of,
+    unmarked,
+    unset,
 )
 
 # Fixed value: the link pattern.  ``d`` makes ``.`` stop at a newline only.
@@ -38,39 +43,42 @@ def resolve_links(links: DataFrame, mode: str = "rfc") -> DataFrame:
     state that runs along the links of one page, as described there.
     """
     if mode == "rfc":
-        return links.withColumn("resolved", _resolve_rfc(F.col("url"), F.col("href")))
+        return _resolve_rfc(links.withColumn("_base", raw_struct(F.col("url")))).drop("_base", "_target")
     if mode == "legacy":
         return _resolve_legacy(links)
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _resolve_rfc(base_url: Column, href: Column) -> Column:
-    base, ref = raw_parts(base_url), raw_parts(href)
-    has = {name: ref[name] != "" for name in ref}
-    has["authority"] = F.startswith(href, F.lit("//"))
+def _resolve_rfc(links: DataFrame) -> DataFrame:
+    """Add ``_target``, the parts of the absolute link, and ``resolved``, their text.
 
+    ``links`` holds ``_base``, the parts of the page's URL.  Each step is a
+    column of its own, so that no part is worked out twice.
+    """
+    base, ref, target = F.col("_base"), F.col("_ref"), F.col("_target")
+    has_scheme = ref["scheme"] != ""
+    has_path = ref["path"] != ""
+    has_own_host = has_scheme | (ref["authority"] != "")
     directory = F.regexp_extract(base["path"], r"(?s)^(.*/)", 1)
-    merged = F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), ref["path"])
     path = (
-        F.when(~has["path"], base["path"])
-        .when(F.startswith(ref["path"], F.lit("/")), remove_dot_segments(ref["path"]))
-        .otherwise(remove_dot_segments(merged))
+        F.when(has_own_host | F.startswith(ref["path"], F.lit("/")), ref["path"])
+        .when(has_path, F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), ref["path"]))
+        .otherwise(base["path"])
+    )
+    parts = F.struct(
+        F.when(has_scheme, ref["scheme"]).otherwise(base["scheme"]).alias("scheme"),
+        F.when(has_own_host, ref["authority"]).otherwise(base["authority"]).alias("authority"),
+        remove_dot_segments(F.col("_path")).alias("path"),
+        F.when(has_own_host | has_path | (ref["query"] != ""), ref["query"]).otherwise(base["query"]).alias("query"),
+        ref["fragment"].alias("fragment"),
     )
-    query = F.when(has["path"] | has["query"], ref["query"]).otherwise(base["query"])
-    scheme = F.concat(base["scheme"], F.lit(":"))
-    dotted = F.contains(href, F.lit("/."))
-    absolute = F.when(
-        dotted & F.contains(href, F.lit("://")),
-        F.concat(
-            ref["scheme"], F.lit("://"), ref["authority"],
-            remove_dot_segments(ref["path"]), ref["query"], ref["fragment"],
-        ),
-    ).otherwise(href)
-    network = F.concat(
-        scheme, F.lit("//"), ref["authority"], remove_dot_segments(ref["path"]), ref["query"], ref["fragment"]
+    return (
+        links.withColumn("_ref", raw_struct(F.col("href")))
+        .withColumn("_path", path)
+        .withColumn("_target", parts)
+        .withColumn("resolved", F.concat(*[target[name] for name in COMPONENTS]))
+        .drop("_ref", "_path")
     )
-    local = F.concat(scheme, F.lit("//"), base["authority"], path, query, ref["fragment"])
-    return F.when(has["scheme"], absolute).when(has["authority"], network).otherwise(local)
 
 
 def _resolve_legacy(links: DataFrame) -> DataFrame:
@@ -89,10 +97,10 @@ def _resolve_legacy(links: DataFrame) -> DataFrame:
     left = F.slice(levels, F.lit(1), F.greatest(F.size(levels) - F.col("_steps"), F.lit(0)).cast("int"))
     own = (
         F.when(climbs, F.concat(F.array_join(left, "/"), F.lit("/"), F.replace(href, F.lit("../"), F.lit(""))))
-        .when(F.startswith(href, F.lit("//")), F.concat(base["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("//")), F.concat(base["scheme"], href))
         .when(
             href.rlike(r"(?d)^.?/"),
-            F.concat(base["scheme"], F.lit("://"), authority_host(base["authority"]), href),
+            F.concat(base["scheme"], F.lit("//"), authority_host(base["authority"]), href),
         )
         .when(F.startswith(href, F.lit("http")), href)
         .when(href.rlike("^[a-zA-Z0-9]"), F.concat(directory, F.lit("/"), href))
@@ -107,25 +115,39 @@ def _resolve_legacy(links: DataFrame) -> DataFrame:
 
 def normalize_links(resolved: DataFrame) -> DataFrame:
     """Add the parts of ``resolved``, with the page's host and scheme and ``/`` for what is missing."""
+    parts = {"_base": F.col("url"), "_target": F.col("resolved")}
+    missing = {name: raw_struct(url) for name, url in parts.items() if name not in resolved.columns}
+    base, target = F.col("_base"), F.col("_target")
     return (
-        resolved.withColumn("_to", url_parts(F.col("resolved")))
-        .withColumn("_from", url_parts(F.col("url")))
+        resolved.withColumns(missing)
         .withColumns(
             {
-                "scheme": F.coalesce("_to.scheme", "_from.scheme"),
-                "host": F.coalesce("_to.host", "_from.host"),
-                "path": F.coalesce("_to.path", F.lit("/")),
-                "query": F.col("_to.query"),
-                "fragment": F.col("_to.fragment"),
+                "scheme": F.coalesce(scheme_of(target["scheme"]), scheme_of(base["scheme"])),
+                "host": F.coalesce(host_of(target["authority"]), host_of(base["authority"])),
+                "path": F.coalesce(unset(target["path"]), F.lit("/")),
+                "query": unmarked(target["query"]),
+                "fragment": unmarked(target["fragment"]),
             }
         )
         .withColumn("scheme_supported", F.col("scheme").isin(*SUPPORTED_SCHEMES))
-        .drop("_to", "_from")
+        .drop("_base", "_target")
     )
 
 
 def page_links(
     pages: DataFrame, mode: str = "rfc", html: str = "html", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Pages to normalized links: extraction, resolution and defaults in one pass."""
-    return normalize_links(resolve_links(extract_links(pages, html, keep), mode))
+    """Pages to normalized links: extraction, resolution and defaults in one pass.
+
+    The page's own URL is taken apart once per page, and a link once.
+    """
+    based = pages.withColumn("_base", raw_struct(F.col("url")))
+    return link_parts(extract_links(based, html, ["_base", *keep]), mode)
+
+
+def link_parts(links: DataFrame, mode: str = "rfc") -> DataFrame:
+    """Extracted links to normalized links."""
+    if mode == "rfc":
+        based = links if "_base" in links.columns else links.withColumn("_base", raw_struct(F.col("url")))
+        return normalize_links(_resolve_rfc(based))
+    return normalize_links(resolve_links(links, mode))

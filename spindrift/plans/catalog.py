@@ -14,7 +14,7 @@ from spindrift.operators import dims, fetches, frontier, links, report, robots,
 from spindrift.operators.throttle import throttle
 from spindrift.plans import derived
 from spindrift.plans.crawl import crawl, crawl_step
-from spindrift.session import run_dir
+from spindrift.session import cut_lineage, run_dir
 from spindrift.sources import tables
 from spindrift.streaming.links import run_merge, stream_links
 from spindrift.streaming.run import run_available
@@ -68,7 +68,7 @@ def https_state(spark: SparkSession, directory: str):
 def link_targets(spark: SparkSession, directory: str) -> tuple[tables.CrawlState, DataFrame]:
     """The https state with domains grown by all link hosts, and the links with their ids."""
     state = https_state(spark, directory)
-    found = mixed_links(spark, directory).filter("scheme_supported")
+    found = cut_lineage(mixed_links(spark, directory).filter("scheme_supported"))
     domain = dims.upsert_domain(
         state.domain, found.select(F.col("host").alias("name")), derived.base_time()
     )

@@ -19,7 +19,7 @@ from spindrift.operators.frontier import (
     split_valid,
     update_next_visit,
 )
-from spindrift.operators.links import hrefs, normalize_links, resolve_links
+from spindrift.operators.links import hrefs, link_parts
 from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import insert_urls
 from spindrift.session import cut_lineage, run_dir
@@ -109,7 +109,7 @@ def crawl_step(
 
     kept = answers.filter(F.col("outcome").isin("html", "other"))
     found = kept.select(F.col("id").alias("page_id"), "url", F.posexplode("hrefs").alias("pos", "href"))
-    links = normalize_links(resolve_links(found, mode)).filter(F.col("scheme").isin(*SUPPORTED_SCHEMES))
+    links = link_parts(found, mode).filter(F.col("scheme").isin(*SUPPORTED_SCHEMES))
     targets = cut_lineage(links.select(F.col("resolved").alias("url"), "scheme", "host", "path").distinct())
 
     domain = upsert_domain(domain, targets.select(F.col("host").alias("name")), at)
