@@ -44,7 +44,7 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[str | Column],
     )
 
 
-def assign_ids(df: DataFrame, keys: Sequence[str], start: int | Column = 1, digits: int = 2) -> DataFrame:
+def assign_ids(df: DataFrame, keys: Sequence[str], start: int | Column = 1, digits: int = 4) -> DataFrame:
     """Add ``id``: consecutive numbers from ``start`` in order of the key's md5, then the key.
 
     ``keys`` must be unique and not NULL.  ``16 ** digits`` buckets share the

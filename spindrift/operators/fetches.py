@@ -34,14 +34,19 @@ def classify_fetch(fetches: DataFrame) -> DataFrame:
 def content_store(fetched: DataFrame) -> DataFrame:
     """The newest body per content key; ties go to the largest URL, then the largest body hash.
 
-    ``fetched`` holds ``domain_id, url, body, fetched_at, outcome``.  Tasks keep
-    one row per key before the shuffle, so many copies of one page stay cheap.
+    ``fetched`` holds ``domain_id, url, body, fetched_at, outcome``.
     """
     keyed = (
         fetched.filter(F.col("outcome").isin("html", "other"))
         .withColumn("_parts", url_parts(F.col("url")))
         .withColumn("content_key", content_key(F.col("_parts"), F.col("outcome") == "html"))
     )
+    return newest_content(keyed)
+
+
+def newest_content(keyed: DataFrame) -> DataFrame:
+    """One body per (domain, key).  Tasks keep one row per key before the shuffle,
+    so many copies of one page stay cheap."""
     newest = F.max_by(
         F.struct("url", "body", "fetched_at"), F.struct("fetched_at", "url", F.md5("body"))
     )

@@ -37,19 +37,19 @@ def due(batch: DataFrame, domain: DataFrame, now: Column) -> DataFrame:
 
 def frontier(
     queue: DataFrame,
-    n: int = 10,
+    n: int | None = 10,
     due_first: bool = False,
     domain: DataFrame | None = None,
     now: Column | None = None,
 ) -> DataFrame:
-    """One URL per domain, the ``n`` oldest of them.
+    """One URL per domain, the ``n`` oldest of them; all of them without ``n``.
 
     A domain that is not due uses a place, unless ``due_first`` drops it before.
     """
     heads = first_per_domain(queue)
     if due_first:
         heads = due(heads.withColumn("host", url_host(F.col("url"))), domain, now).select(*queue.columns)
-    return heads.orderBy("added", "id").limit(n)
+    return heads if n is None else heads.orderBy("added", "id").limit(n)
 
 
 def enqueue(queue: DataFrame, links: DataFrame, now: Column) -> DataFrame:

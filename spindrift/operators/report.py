@@ -46,7 +46,7 @@ def page_of(df: DataFrame, page: int | None = 1, page_size: int = PAGE_SIZE, ord
 
 
 def page_index(
-    df: DataFrame, page_size: int = PAGE_SIZE, order: str = "id", buckets: int = 4096
+    df: DataFrame, page_size: int = PAGE_SIZE, order: str = "id", buckets: int = 1 << 16
 ) -> DataFrame:
     """Add ``page``, the page that each row falls on.
 

@@ -9,8 +9,12 @@ from spindrift.operators.dims import absent, assign_ids, next_id
 URL_KEY = ["path", "domain_id", "scheme_id"]
 
 
-def insert_urls(url: DataFrame, links: DataFrame) -> DataFrame:
-    """The link table grown by the (path, domain, scheme) triples it lacks."""
+def new_urls(url: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows that the link table lacks: distinct (path, domain, scheme) triples with new ids."""
     missing = absent(links.select(*URL_KEY).distinct(), url, URL_KEY)
-    added = assign_ids(missing, URL_KEY, next_id(url))
-    return url.unionByName(added.select(*url.columns))
+    return assign_ids(missing, URL_KEY, next_id(url)).select(*url.columns)
+
+
+def insert_urls(url: DataFrame, links: DataFrame) -> DataFrame:
+    """The link table grown by the triples it lacks."""
+    return url.unionByName(new_urls(url, links))

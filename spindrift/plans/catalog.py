@@ -24,7 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-WHOLE_FRONTIER = 100_000
 THROTTLE_DELAY = 6 * 3600
 SEARCH_TERMS = ("the", "thand", "nicht", "para", "eau")
 RULE_COLUMNS = ("host", "agent", "pos", "pattern", "regex", "rule_len", "allow")
@@ -381,7 +380,7 @@ def mixed_fetches(spark: SparkSession, directory: str) -> DataFrame:
 def step_of(spark: SparkSession, directory: str):
     state, _ = derived.derived_state(spark, directory)
     return crawl_step(
-        state, mixed_fetches(spark, directory), rules_of(spark, directory), derived.BASE, n=WHOLE_FRONTIER
+        state, mixed_fetches(spark, directory), rules_of(spark, directory), derived.BASE, n=None
     )
 
 
@@ -416,7 +415,7 @@ def crawl_rounds(spark, directory):
     state, _ = derived.derived_state(spark, directory)
     return crawl(
         state, mixed_fetches(spark, directory), rules_of(spark, directory), derived.BASE,
-        rounds=3, n=WHOLE_FRONTIER, skip_known=True,
+        rounds=3, n=None, skip_known=True,
     )[1]
 
 

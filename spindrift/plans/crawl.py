@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.urls import SUPPORTED_SCHEMES
 from spindrift.operators.dims import absent, upsert_domain, upsert_protocols, with_dim_id
-from spindrift.operators.fetches import fetch_outcome
+from spindrift.operators.fetches import content_store, fetch_outcome
 from spindrift.operators.frontier import (
     dequeue,
     due,
@@ -21,9 +21,16 @@ from spindrift.operators.frontier import (
 )
 from spindrift.operators.links import hrefs, link_parts
 from spindrift.operators.robots import robots_blocked
-from spindrift.operators.store import insert_urls
+from spindrift.operators.store import new_urls
 from spindrift.session import cut_lineage, run_dir
-from spindrift.sources.tables import CrawlState, page_bucket, write_state
+from spindrift.sources.tables import (
+    GROWING,
+    CrawlState,
+    load_version,
+    page_bucket,
+    save_version,
+    write_content,
+)
 
 # Rows of a batch that may be sent to every task; a batch has one row per place.
 BROADCAST_ROWS = 100_000
@@ -31,12 +38,30 @@ BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class StepResult:
-    state: CrawlState
+    """What a step did.
+
+    ``changes`` holds the rows added to the growing tables and the other tables
+    whole, as ``save_version`` writes them; ``state`` is the new state.
+    """
+
+    before: CrawlState
+    changes: dict[str, DataFrame]
     outcomes: DataFrame
     fetched: DataFrame
 
+    @property
+    def state(self) -> CrawlState:
+        return grown(self.before, self.changes)
+
+
+def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
+    old = before.tables()
+    return before.with_tables(
+        **{name: old[name].unionByName(df) if name in GROWING else df for name, df in changes.items()}
+    )
+
 
-def _fetch(batch: DataFrame, pages: DataFrame, n: int, buckets: int | None) -> DataFrame:
+def _fetch(batch: DataFrame, pages: DataFrame, n: int | None, buckets: int | None) -> DataFrame:
     """Batch rows with their newest snapshot.
 
     The small side moves to the pages; copies of a page are reduced to one by
@@ -46,7 +71,7 @@ def _fetch(batch: DataFrame, pages: DataFrame, n: int, buckets: int | None) -> D
     if buckets and "bucket" in pages.columns:
         batch = batch.withColumn("bucket", page_bucket(F.col("url"), buckets))
         keys = ["bucket", "url"]
-    batch = F.broadcast(batch) if n <= BROADCAST_ROWS else batch
+    batch = F.broadcast(batch) if n is not None and n <= BROADCAST_ROWS else batch
     body = F.col("body" if "body" in pages.columns else "html")
     taken_at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp_ntz")
     copies = pages.select(
@@ -64,7 +89,7 @@ def crawl_step(
     pages: DataFrame,
     rules: DataFrame,
     now: datetime,
-    n: int = 10,
+    n: int | None = 10,
     delay: float = 5,
     *,
     agent: str = "*",
@@ -117,17 +142,19 @@ def crawl_step(
     targets = with_dim_id(with_dim_id(targets, domain, "host", "domain_id"), protocols, "scheme", "scheme_id")
 
     done = outcomes.filter(F.col("outcome") != "not_due")
-    tried = state.tried.unionByName(absent(done.select("url").distinct(), state.tried, ["url"]))
-    fresh = absent(targets, tried, ["url"]) if skip_known else targets
-    grown = enqueue(state.queue, fresh, at)
+    tried = absent(done.select("url").distinct(), state.tried, ["url"])
+    fresh = targets
+    if skip_known:
+        fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"])
     return StepResult(
-        state.with_tables(
-            queue=dequeue(grown, done),
-            domain=update_next_visit(domain, kept.select("host"), at, delay),
-            protocols=protocols,
-            url=insert_urls(state.url, targets),
-            tried=tried,
-        ),
+        state,
+        {
+            "queue": dequeue(enqueue(state.queue, fresh, at), done),
+            "domain": update_next_visit(domain, kept.select("host"), at, delay),
+            "protocols": protocols,
+            "url": new_urls(state.url, targets),
+            "tried": tried,
+        },
         outcomes,
         with_dim_id(bodies.filter(stored).withColumn("fetched_at", at), domain, "host", "domain_id"),
     )
@@ -141,25 +168,31 @@ def crawl(
     rounds: int,
     tick: float = 15,
     directory: str | None = None,
+    content: str | None = None,
     **options,
 ) -> tuple[CrawlState, DataFrame]:
     """Steps until the queue is empty or ``rounds`` are done, ``tick`` seconds apart.
 
     Each round's state is written as a new version and read back, so no plan
-    grows with the number of rounds.  Gives the last state and all outcomes with
-    their ``round``.
+    grows with the number of rounds; stored links are only added to.  Gives the
+    last state and all outcomes with their ``round``.  With ``content`` each
+    round's bodies are written to a folder below it, for ``read_content``.
     """
     spark = state.queue.sparkSession
     directory = directory or run_dir(spark, "crawl")
+    save_version(state.tables(), directory, 0)
+    state = load_version(spark, directory, 0)
     written = []
     for number in range(1, rounds + 1):
         if state.queue.isEmpty():
             break
         now = start + timedelta(seconds=tick * (number - 1))
         step = crawl_step(state, pages, rules, now, **options)
-        path = f"{directory}/outcomes/round={number}"
-        step.outcomes.write.mode("errorifexists").parquet(path)
-        state = write_state(step.state, f"{directory}/state/{number:06d}")
+        step.outcomes.write.mode("overwrite").parquet(f"{directory}/outcomes/round={number}")
+        if content is not None:
+            write_content(content_store(step.fetched), f"{content}/round={number}")
+        save_version(step.changes, directory, number)
+        state = load_version(spark, directory, number)
         written.append(number)
     schema = "id bigint, url string, outcome string, round int"
     if not written:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.functions.urls import url_host
-from spindrift.operators.fetches import OK_STATUS
+from spindrift.operators.fetches import OK_STATUS, newest_content
 
 # What a snapshot without response headers is taken to have answered.
 DEFAULT_HEADERS = {"status_line": OK_STATUS[0], "content_type": "text/html"}
@@ -24,6 +24,13 @@ STATE_SCHEMAS = {
 }
 
 
+# Tables that rows are added to and never taken from.
+GROWING = ("url", "tried")
+
+# Never empty, so its newest version tells how far the state has come.
+COMPLETES = "protocols"
+
+
 @dataclass(frozen=True)
 class CrawlState:
     """The tables a crawl reads and grows.  ``tried`` lists the URLs taken from the queue so far."""
@@ -126,16 +133,44 @@ def read_state_jdbc(spark: SparkSession, url: str, properties: dict[str, str], *
     return CrawlState(**typed, tried=spark.createDataFrame([], STATE_SCHEMAS["tried"]))
 
 
-def write_state(state: CrawlState, directory: str, mode: str = "errorifexists") -> CrawlState:
-    """Write a new version of the state and read it back.
-
-    ``directory`` is new by default: a version is never written over its own input.
-    """
+def write_state(state: CrawlState, directory: str) -> CrawlState:
+    """Write a whole state to a new directory and read it back."""
     for name, df in state.tables().items():
-        df.write.mode(mode).parquet(table_path(directory, name))
+        df.write.mode("errorifexists").parquet(table_path(directory, name))
     return read_state(state.queue.sparkSession, directory)
 
 
+def save_version(tables: dict[str, DataFrame], directory: str, version: int) -> None:
+    """Write one version of the tables: additions for those that only grow, whole tables for the others.
+
+    Writing a version again replaces it, and no version is read while it is
+    written.  The table that marks a version as complete is written last.
+    """
+    for name in sorted(tables, key=lambda name: name == COMPLETES):
+        tables[name].write.mode("overwrite").parquet(f"{directory}/{name}/version={version}")
+
+
+def latest_version(spark: SparkSession, directory: str) -> int:
+    """The number of the last complete version."""
+    rows = spark.read.schema(T.StructType.fromDDL(f"{STATE_SCHEMAS[COMPLETES]}, version int")).parquet(
+        f"{directory}/{COMPLETES}"
+    )
+    return rows.agg(F.max("version")).first()[0]
+
+
+def load_version(spark: SparkSession, directory: str, version: int) -> CrawlState:
+    """The state as of a version; later ones, whole or not, are left out by partition pruning."""
+
+    def load(name: str) -> DataFrame:
+        rows = spark.read.schema(T.StructType.fromDDL(f"{STATE_SCHEMAS[name]}, version int")).parquet(
+            f"{directory}/{name}"
+        )
+        wanted = F.col("version") <= version if name in GROWING else F.col("version") == version
+        return rows.filter(wanted).drop("version")
+
+    return CrawlState(**{name: load(name) for name in STATE_SCHEMAS})
+
+
 def write_content(content: DataFrame, path: str, buckets: int = 256) -> None:
     """Stored bodies by domain bucket, newest version per key already chosen.
 
@@ -150,3 +185,8 @@ def write_content(content: DataFrame, path: str, buckets: int = 256) -> None:
         .partitionBy("bucket")
         .parquet(path)
     )
+
+
+def read_content(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Stored bodies of several writes; the newest per key replaces the earlier ones."""
+    return newest_content(spark.read.parquet(*paths).drop("bucket"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from spindrift.operators.dims import upsert_domain, upsert_protocols, with_dim_id
 from spindrift.operators.frontier import enqueue
 from spindrift.operators.links import page_links
-from spindrift.operators.store import insert_urls
-from spindrift.sources.tables import CrawlState, read_state, write_state
+from spindrift.operators.store import new_urls
+from spindrift.session import cut_lineage
+from spindrift.sources.tables import CrawlState, latest_version, load_version, save_version
 
 LINK_KEY = ["scheme", "host", "path"]
 
@@ -34,46 +35,47 @@ def stream_links(
     return found.select("_seen", *LINK_KEY).dropDuplicatesWithinWatermark(LINK_KEY).select(*LINK_KEY)
 
 
-def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> CrawlState:
-    """State grown by normalized links: their hosts, schemes, queue rows and stored triples."""
+def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str, DataFrame]:
+    """The changes that normalized links make: hosts, schemes, queue, and new stored triples."""
     at = F.lit(now).cast("timestamp_ntz")
     links = links.filter("scheme_supported").select(F.col("resolved").alias("url"), "scheme", "host", "path").distinct()
     domain = upsert_domain(state.domain, links.select(F.col("host").alias("name")), at)
     protocols = upsert_protocols(state.protocols, links.select(F.col("scheme").alias("name")))
     targets = with_dim_id(with_dim_id(links, domain, "host", "domain_id"), protocols, "scheme", "scheme_id")
-    return state.with_tables(
-        domain=domain,
-        protocols=protocols,
-        queue=enqueue(state.queue, targets, at),
-        url=insert_urls(state.url, targets),
-    )
-
-
-def version_path(directory: str, batch_id: int) -> str:
-    """Where the state after a micro-batch is kept; ``-1`` is the state before the first."""
-    return f"{directory}/v{batch_id + 1:09d}"
+    return {
+        "domain": domain,
+        "protocols": protocols,
+        "queue": enqueue(state.queue, targets, at),
+        "url": new_urls(state.url, targets),
+    }
 
 
 def merge_batch(directory: str, now: Callable[[int], datetime]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that merges normalized links into versions of the state.
 
-    Each version is made from the one before and the batch alone, so a batch
-    that is tried again after a failure writes the same rows to the same place.
+    Batch ``b`` makes version ``b + 1`` from version ``b`` and its own links
+    alone, so a batch that is tried again after a failure writes the same rows
+    to the same place.
     """
 
     def merge(links: DataFrame, batch_id: int) -> None:
-        state = read_state(links.sparkSession, version_path(directory, batch_id - 1))
-        links = links.persist()
-        write_state(merge_links(state, links, now(batch_id)), version_path(directory, batch_id), "overwrite")
-        links.unpersist()
+        state = load_version(links.sparkSession, directory, batch_id)
+        found = cut_lineage(links)
+        save_version(merge_links(state, found, now(batch_id)), directory, batch_id + 1)
 
     return merge
 
 
-def run_merge(pages: DataFrame, state: CrawlState, directory: str, now: Callable[[int], datetime]) -> CrawlState:
-    """Merge the links of all pages available now; gives the last version of the state."""
+def run_merge(
+    pages: DataFrame, state: CrawlState | None, directory: str, now: Callable[[int], datetime]
+) -> CrawlState:
+    """Merge the links of all pages available now; gives the last version of the state.
+
+    Without a ``state`` the run goes on from what is in ``directory``.
+    """
     spark = pages.sparkSession
-    write_state(state, version_path(directory, -1))
+    if state is not None:
+        save_version(state.tables(), directory, 0)
     query = (
         page_links(pages)
         .writeStream.foreachBatch(merge_batch(directory, now))
@@ -82,5 +84,4 @@ def run_merge(pages: DataFrame, state: CrawlState, directory: str, now: Callable
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress
-    return read_state(spark, version_path(directory, last["batchId"] if last else -1))
+    return load_version(spark, directory, latest_version(spark, directory))
