@@ -187,6 +187,6 @@ def write_content(content: DataFrame, path: str, buckets: int = 256) -> None:
     )
 
 
-def read_content(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Stored bodies of several writes; the newest per key replaces the earlier ones."""
-    return newest_content(spark.read.parquet(*paths).drop("bucket"))
+def read_content(spark: SparkSession, path: str) -> DataFrame:
+    """Stored bodies of one write, or of all rounds below a folder; the newest per key counts."""
+    return newest_content(spark.read.parquet(path))
