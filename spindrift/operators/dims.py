@@ -75,9 +75,10 @@ def upsert_dim(
     """The dimension grown by the distinct names it lacks.
 
     ``names`` holds the column ``key``; ``defaults`` fills the other columns.
+    The new entries are written once, as ids are looked up in them many times.
     """
     missing = absent(names.select(key).filter(F.col(key).isNotNull()).distinct(), dim, [key])
-    added = assign_ids(missing, [key], next_id(dim)).withColumns(defaults or {})
+    added = cut_lineage(assign_ids(missing, [key], next_id(dim)).withColumns(defaults or {}))
     return dim.unionByName(added.select(*dim.columns))
 
 
@@ -130,10 +131,10 @@ def content_type_ids(dim: DataFrame, values: DataFrame) -> tuple[DataFrame, Data
     lengths = wanted.agg(F.collect_set(F.length("gram"))).scalar()
     entries = dim.select("id", F.lower("value").alias("entry"))
     smallest = _substrings(entries, "entry", lengths).groupBy("gram").agg(F.min("id").alias("found"))
-    matched = wanted.join(smallest, "gram", "left")
+    matched = cut_lineage(wanted.join(smallest, "gram", "left"))
 
     missing = matched.filter(F.col("found").isNull()).groupBy("gram").agg(F.min("value").alias("value"))
-    added = assign_ids(missing, ["gram"], next_id(dim))
+    added = cut_lineage(assign_ids(missing, ["gram"], next_id(dim)))
     ids = matched.join(added.select("gram", F.col("id").alias("added")), "gram", "left").select(
         "value", F.coalesce("found", "added").alias("id")
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.session import cut_lineage
+
 # Fixed value: what separates terms.
 NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
@@ -47,6 +49,8 @@ def search(
     if "bucket" in index.columns:
         buckets = [term_bucket(F.lit(t), n_buckets) for t in wanted]
         hits = hits.filter(F.col("bucket").isin(*buckets))
+    # Both the document counts and the scores need the hits, which may come from raw texts.
+    hits = cut_lineage(hits.select("term", "doc_id", "tf"))
     stats = term_stats(hits)
     weight = F.log((n_docs.select("n").scalar() + 1) / (F.col("df") + 1))
     return (

@@ -71,6 +71,9 @@ def _fetch(batch: DataFrame, pages: DataFrame, n: int | None, buckets: int | Non
     if buckets and "bucket" in pages.columns:
         batch = batch.withColumn("bucket", page_bucket(F.col("url"), buckets))
         keys = ["bucket", "url"]
+        # At most ``buckets`` small numbers; they prune the folders that are read.
+        folders = [row.bucket for row in batch.select("bucket").distinct().collect()]
+        pages = pages.filter(F.col("bucket").isin(folders))
     batch = F.broadcast(batch) if n is not None and n <= BROADCAST_ROWS else batch
     body = F.col("body" if "body" in pages.columns else "html")
     taken_at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp_ntz")

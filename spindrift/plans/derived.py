@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.urls import url_parts
 from spindrift.operators.dims import DIM_SCHEMA, FIXED_PROTOCOLS, assign_ids
 from spindrift.operators.store import URL_KEY
+from spindrift.session import cut_lineage
 from spindrift.sources.tables import STATE_SCHEMAS, CrawlState, read_pages
 
 BASE = datetime(2024, 1, 1)
@@ -49,7 +50,8 @@ def hosts(pages: DataFrame) -> DataFrame:
 def domain_table(pages: DataFrame) -> DataFrame:
     """Hosts whose next visit is an hour before, at, or an hour after the base time."""
     hours = F.make_dt_interval(hours=(F.col("id") % 3 - 1).cast("int"))
-    return assign_ids(hosts(pages), ["name"]).select("id", "name", (base_time() + hours).alias("next_visit"))
+    named = assign_ids(hosts(pages), ["name"])
+    return cut_lineage(named.select("id", "name", (base_time() + hours).alias("next_visit")))
 
 
 def protocol_table(spark: SparkSession) -> DataFrame:
@@ -74,7 +76,7 @@ def url_table(pages: DataFrame, domain: DataFrame, protocols: DataFrame) -> Data
         .join(protocols.select(F.col("name").alias("scheme"), F.col("id").alias("scheme_id")), "scheme")
         .select(*URL_KEY)
     )
-    return assign_ids(triples, URL_KEY).select("id", *URL_KEY)
+    return cut_lineage(assign_ids(triples, URL_KEY).select("id", *URL_KEY))
 
 
 def robots_table(domain: DataFrame) -> DataFrame:
