@@ -1,7 +1,11 @@
 """Dimensions kept by insert-if-absent: names, ids, and the look-ups on them.
 
-Joins carry no broadcast hints.  Spark broadcasts a side when its measured size
-is under its threshold, shuffles otherwise, and splits a hot key's partition.
+Large joins carry no broadcast hints: Spark broadcasts a side when its measured
+size is under its threshold, shuffles otherwise, and splits a hot key's partition.
+
+``few=True`` is the caller's word, after a count, that the new rows are at most
+``FEW_ROWS``.  Then they are sent to the large table, which is scanned where it
+lies and not shuffled.
 """
 
 from __future__ import annotations
@@ -18,17 +22,19 @@ from spindrift.session import cut_lineage
 FIXED_PROTOCOLS = ((0, "http"), (1, "https"))
 DIM_SCHEMA = "id bigint, name string"
 
+# Rows that may be sent to every task.
+FEW_ROWS = 50_000
+
 
 def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str) -> DataFrame:
     """Rank rows from 1 by ``(bucket, order)`` without a window over the whole table.
 
     Buckets are numbered in parallel and shifted by the sizes of the buckets
     before them.  The one unpartitioned window reads one row per bucket, so the
-    caller must bound the number of buckets.  The rows are written once to the
-    shared folder, as both passes need them and work that led to them must not
-    be done twice.
+    caller must bound the number of buckets.  The rows are read twice, so the
+    caller writes them first where work led to them.
     """
-    tagged = cut_lineage(df.withColumn("_bucket", bucket))
+    tagged = df.withColumn("_bucket", bucket)
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy("_bucket")
@@ -50,6 +56,10 @@ def assign_ids(df: DataFrame, keys: Sequence[str], start: int | Column = 1, digi
     ``keys`` must be unique and not NULL.  ``16 ** digits`` buckets share the
     work; the ids do not depend on how many there are.
     """
+    return _number(cut_lineage(df), keys, start, digits)
+
+
+def _number(df: DataFrame, keys: Sequence[str], start: int | Column, digits: int = 4) -> DataFrame:
     start = start if isinstance(start, Column) else F.lit(start)
     hashed = df.withColumn("_md5", F.md5(F.concat_ws("\n", *[F.col(k).cast("string") for k in keys])))
     ranked = bucketed_rank(hashed, F.substring("_md5", 1, digits), ["_md5", *keys], "_rank")
@@ -61,9 +71,18 @@ def next_id(table: DataFrame) -> Column:
     return table.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
 
 
-def absent(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+def near(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a large table whose key occurs among a few ``rows``."""
+    return table.join(F.broadcast(rows.select(*keys).distinct()), list(keys), "left_semi")
+
+
+def absent(new: DataFrame, existing: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``."""
-    return new.join(existing.select(*keys), list(keys), "left_anti")
+    known = existing.select(*keys)
+    if few:
+        # Distinct, these are no more than the new keys.
+        known = F.broadcast(near(known, new, keys).distinct())
+    return new.join(known, list(keys), "left_anti")
 
 
 def upsert_dim(
@@ -71,32 +90,50 @@ def upsert_dim(
     names: DataFrame,
     key: str = "name",
     defaults: dict[str, Column] | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """The dimension grown by the distinct names it lacks.
 
     ``names`` holds the column ``key``; ``defaults`` fills the other columns.
     The new entries are written once, as ids are looked up in them many times.
     """
-    missing = absent(names.select(key).filter(F.col(key).isNotNull()).distinct(), dim, [key])
-    added = cut_lineage(assign_ids(missing, [key], next_id(dim)).withColumns(defaults or {}))
+    missing = absent(names.select(key).filter(F.col(key).isNotNull()).distinct(), dim, [key], few)
+    missing = cut_lineage(missing)
+    if missing.isEmpty():
+        return dim
+    added = cut_lineage(_number(missing, [key], next_id(dim)).withColumns(defaults or {}))
     return dim.unionByName(added.select(*dim.columns))
 
 
-def upsert_domain(domain: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
+def upsert_domain(domain: DataFrame, hosts: DataFrame, now: Column, few: bool = False) -> DataFrame:
     """Domains grown by the hosts seen; a new one may be visited after ``now``."""
-    return upsert_dim(domain, hosts, "name", {"next_visit": now})
+    return upsert_dim(domain, hosts, "name", {"next_visit": now}, few)
 
 
 def upsert_protocols(protocols: DataFrame, schemes: DataFrame) -> DataFrame:
     """Schemes grown by those seen; http and https keep their fixed ids."""
-    spark = protocols.sparkSession
-    fixed = absent(spark.createDataFrame(FIXED_PROTOCOLS, DIM_SCHEMA), protocols, ["name"])
-    return upsert_dim(protocols.unionByName(fixed.select(*protocols.columns)), schemes)
+    return upsert_dim(with_fixed_protocols(protocols), schemes)
 
 
-def with_dim_id(df: DataFrame, dim: DataFrame, on: str, out: str, how: str = "inner") -> DataFrame:
+def with_fixed_protocols(protocols: DataFrame) -> DataFrame:
+    fixed = protocols.sparkSession.createDataFrame(FIXED_PROTOCOLS, DIM_SCHEMA)
+    return protocols.unionByName(absent(fixed, protocols, ["name"]).select(*protocols.columns))
+
+
+def with_dim_id(
+    df: DataFrame, dim: DataFrame, on: str, out: str, how: str = "inner", few: bool = False
+) -> DataFrame:
     """Add the id of the dimension row whose name equals column ``on``."""
-    return df.join(dim.select(F.col("name").alias(on), F.col("id").alias(out)), on, how)
+    ids = dim.select(F.col("name").alias(on), F.col("id").alias(out))
+    if few:
+        # Names are unique, so these are no more than the rows.
+        ids = F.broadcast(near(ids, df, [on]))
+    return df.join(ids, on, how)
+
+
+def fixed_scheme_id(scheme: Column) -> Column:
+    """Id of http or https, which needs no look-up; NULL for another scheme."""
+    return F.coalesce(*[F.when(scheme == name, F.lit(id).cast("bigint")) for id, name in FIXED_PROTOCOLS])
 
 
 def url_ids(links: DataFrame, url: DataFrame) -> DataFrame:

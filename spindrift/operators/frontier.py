@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import url_host
-from spindrift.operators.dims import absent, assign_ids, next_id, upsert_domain, with_dim_id
+from spindrift.operators.dims import absent, assign_ids, near, next_id, upsert_domain, with_dim_id
 
 
 def seconds(n: float) -> Column:
@@ -29,9 +29,11 @@ def first_per_domain(queue: DataFrame) -> DataFrame:
     return queue.groupBy("domain_id").agg(oldest.alias("row")).select("row.*")
 
 
-def due(batch: DataFrame, domain: DataFrame, now: Column) -> DataFrame:
+def due(batch: DataFrame, domain: DataFrame, now: Column, few: bool = False) -> DataFrame:
     """Rows whose host's next visit lies strictly before ``now``; ``batch`` holds ``host``."""
     open_now = domain.filter(F.col("next_visit") < now).select(F.col("name").alias("host"))
+    if few:
+        open_now = F.broadcast(near(open_now, batch, ["host"]))
     return batch.join(open_now, "host", "left_semi")
 
 
@@ -52,10 +54,10 @@ def frontier(
     return heads if n is None else heads.orderBy("added", "id").limit(n)
 
 
-def enqueue(queue: DataFrame, links: DataFrame, now: Column) -> DataFrame:
+def enqueue(queue: DataFrame, links: DataFrame, now: Column, few: bool = False) -> DataFrame:
     """The queue grown by the URLs it lacks; ``links`` holds ``url`` and ``domain_id``."""
     fresh = links.groupBy("url").agg(F.min("domain_id").alias("domain_id"))
-    added = assign_ids(absent(fresh, queue, ["url"]), ["url"], next_id(queue)).withColumn("added", now)
+    added = assign_ids(absent(fresh, queue, ["url"], few), ["url"], next_id(queue)).withColumn("added", now)
     return queue.unionByName(added.select(*queue.columns))
 
 
@@ -68,16 +70,18 @@ def add_seeds(
     return enqueue(queue, with_dim_id(seeds, grown, "host", "domain_id", "left"), now), grown
 
 
-def dequeue(queue: DataFrame, done: DataFrame) -> DataFrame:
+def dequeue(queue: DataFrame, done: DataFrame, few: bool = False) -> DataFrame:
     """The queue without the ids in ``done``."""
-    return absent(queue, done, ["id"]).select(*queue.columns)
+    return absent(queue, F.broadcast(done) if few else done, ["id"]).select(*queue.columns)
 
 
-def update_next_visit(domain: DataFrame, hosts: DataFrame, now: Column, delay: float = 5) -> DataFrame:
+def update_next_visit(
+    domain: DataFrame, hosts: DataFrame, now: Column, delay: float = 5, few: bool = False
+) -> DataFrame:
     """Domains with ``next_visit = now + delay`` for the hosts just fetched; others as before."""
     visited = hosts.select(F.col("host").alias("name")).distinct().withColumn("_next", now + seconds(delay))
     return (
-        domain.join(visited, "name", "left")
+        domain.join(F.broadcast(visited) if few else visited, "name", "left")
         .withColumn("next_visit", F.coalesce("_next", "next_visit"))
         .select(*domain.columns)
     )

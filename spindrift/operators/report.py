@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.urls import page_url
 from spindrift.operators.dims import bucketed_rank
+from spindrift.session import cut_lineage
 
 PAGE_SIZE = 10
 
@@ -53,6 +54,7 @@ def page_index(
     ``order`` is a unique whole-number column.  Its range is cut in equal
     stretches that are numbered in parallel.
     """
+    df = cut_lineage(df)
     bounds = df.agg(F.struct(F.min(order).alias("low"), F.max(order).alias("high"))).scalar()
     # Dividing first keeps the product inside a bigint for any id.
     width = F.greatest((bounds["high"] - bounds["low"] + buckets) / F.lit(buckets), F.lit(1.0))

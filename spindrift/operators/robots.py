@@ -16,6 +16,8 @@ from spindrift.functions.robots import (
     trim_blanks,
 )
 from spindrift.functions.urls import url_host
+from spindrift.operators.dims import near
+from spindrift.session import cut_lineage
 
 
 def parse_robots(robots: DataFrame) -> DataFrame:
@@ -87,16 +89,21 @@ def _blocked(rules: Column, target: Column) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def robots_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+def robots_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*", few: bool = False) -> DataFrame:
     """``urls`` with ``blocked``.
 
     The rules of a host travel as one row and are tried inside the URL's own
-    row: no row per (URL, rule) pair and no aggregation afterwards.
+    row: no row per (URL, rule) pair and no aggregation afterwards.  They are
+    written once, for the join to meet a plain shuffle on both sides: only then
+    does Spark split the URLs of a host that has very many.
     """
+    hosted = urls.withColumn("_host", url_host(F.col("url")))
+    if few:
+        rules = near(rules, hosted.select(F.col("_host").alias("host")), ["host"])
+    packed = cut_lineage(rules_by_host(rules, agent).withColumnRenamed("host", "_host"))
     return (
-        urls.withColumn("_host", url_host(F.col("url")))
-        .withColumn("_target", robots_target(F.col("url")))
-        .join(rules_by_host(rules, agent).withColumnRenamed("host", "_host"), "_host", "left")
+        hosted.withColumn("_target", robots_target(F.col("url")))
+        .join(F.broadcast(packed) if few else packed, "_host", "left")
         .withColumn("blocked", _blocked(F.col("rules"), F.col("_target")))
         .drop("_host", "_target", "rules")
     )

@@ -54,7 +54,7 @@ def search(
     stats = term_stats(hits)
     weight = F.log((n_docs.select("n").scalar() + 1) / (F.col("df") + 1))
     return (
-        hits.join(stats, "term")
+        hits.join(F.broadcast(stats), "term")  # one row per term of the query
         .groupBy("doc_id")
         .agg(F.round(F.sum(F.col("tf") * weight), 6).alias("score"))
         .orderBy(F.desc("score"), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.urls import url_parts
 from spindrift.operators.fetches import is_ok
+from spindrift.session import cut_lineage
 
 # The causes that are not a status line.
 NOT_IN_SNAPSHOT = "not in snapshot"
@@ -35,12 +36,13 @@ def broken_links(links: DataFrame, fetches: DataFrame) -> DataFrame:
     """Links to a page that is not in the snapshot or did not answer with success, and the cause.
 
     ``links`` are normalized; one row per link.  The join meets one status row
-    per target, so a target with a third of the links is split, not collected.
+    per target.  These are written first, for the join to have a plain shuffle
+    on both sides: only then does Spark split a target that very many links have.
     """
     cause = F.when(F.col("ok").isNull(), NOT_IN_SNAPSHOT).otherwise(F.col("failure"))
     return (
         links.filter("scheme_supported")
-        .join(fetch_status(fetches), ["host", "path"], "left")
+        .join(cut_lineage(fetch_status(fetches)), ["host", "path"], "left")
         .filter(~F.coalesce("ok", F.lit(False)))
         .select("page_id", "url", "pos", "href", "host", "path", cause.alias("cause"))
     )

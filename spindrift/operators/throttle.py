@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spindrift.operators.dims import FEW_ROWS
 from spindrift.session import cut_lineage
 
 HOT_ROWS = 5_000_000
@@ -39,13 +40,16 @@ def throttle(
     sizes = log.groupBy("key").agg(
         F.count("*").alias("n"), F.min("us").alias("first"), F.max("us").alias("last")
     )
-    hot = sizes.filter(F.col("n") > hot_rows)
+    # A row per hot key: no more than a ``hot_rows``-th of the events.
+    hot = cut_lineage(sizes.filter(F.col("n") > hot_rows))
     bounds = hot.agg(F.count("*").alias("keys"), F.min("first").alias("first"), F.max("last").alias("last")).first()
     if bounds["keys"] == 0:
         accepted = _accept_in_order(log, step)
     else:
-        usual = log.join(hot.select("key"), "key", "left_anti")
-        busy = log.join(hot.select("key"), "key", "left_semi")
+        keys = hot.select("key")
+        keys = F.broadcast(keys) if bounds["keys"] <= FEW_ROWS else keys
+        usual = log.join(keys, "key", "left_anti")
+        busy = log.join(keys, "key", "left_semi")
         accepted = _accept_in_order(usual, step).unionByName(
             _accept_by_jumps(busy, step, bounds["first"], bounds["last"])
         )

@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import SUPPORTED_SCHEMES
-from spindrift.operators.dims import absent, upsert_domain, upsert_protocols, with_dim_id
+from spindrift.operators.dims import (
+    FEW_ROWS,
+    absent,
+    fixed_scheme_id,
+    near,
+    upsert_domain,
+    with_dim_id,
+    with_fixed_protocols,
+)
 from spindrift.operators.fetches import content_store, fetch_outcome
 from spindrift.operators.frontier import (
     dequeue,
@@ -32,9 +40,6 @@ from spindrift.sources.tables import (
     write_content,
 )
 
-# Rows of a batch that may be sent to every task; a batch has one row per place.
-BROADCAST_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class StepResult:
@@ -61,7 +66,7 @@ def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
     )
 
 
-def _fetch(batch: DataFrame, pages: DataFrame, n: int | None, buckets: int | None) -> DataFrame:
+def _fetch(batch: DataFrame, pages: DataFrame, few: bool, buckets: int | None = None) -> DataFrame:
     """Batch rows with their newest snapshot.
 
     The small side moves to the pages; copies of a page are reduced to one by
@@ -74,7 +79,7 @@ def _fetch(batch: DataFrame, pages: DataFrame, n: int | None, buckets: int | Non
         # At most ``buckets`` small numbers; they prune the folders that are read.
         folders = [row.bucket for row in batch.select("bucket").distinct().collect()]
         pages = pages.filter(F.col("bucket").isin(folders))
-    batch = F.broadcast(batch) if n is not None and n <= BROADCAST_ROWS else batch
+    batch = F.broadcast(batch) if few else batch
     body = F.col("body" if "body" in pages.columns else "html")
     taken_at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp_ntz")
     copies = pages.select(
@@ -87,6 +92,12 @@ def _fetch(batch: DataFrame, pages: DataFrame, n: int | None, buckets: int | Non
     return copies.groupBy("id").agg(newest.alias("row")).select("id", "row.*")
 
 
+def _with_domain(bodies: DataFrame, kept: DataFrame, domain: DataFrame, few: bool) -> DataFrame:
+    """Bodies with ``domain_id``; the hosts come from the batch, not from the texts."""
+    ids = domain.select(F.col("name").alias("host"), F.col("id").alias("domain_id"))
+    return bodies.join(F.broadcast(near(ids, kept, ["host"])) if few else ids, "host")
+
+
 def crawl_step(
     state: CrawlState,
     pages: DataFrame,
@@ -107,15 +118,19 @@ def crawl_step(
     The verdicts and the links of the batch are written once to the shared
     folder; the new tables are plans on top of that.  ``fetched`` has the bodies
     to store, for ``content_store``.
+
+    Batch and links are counted as they are written.  While they are few, they
+    are sent to the large tables; else both sides are shuffled.
     """
     at = F.lit(now).cast("timestamp_ntz")
     batch = cut_lineage(frontier(state.queue, n, due_first, state.domain, at))
 
+    few = batch.count() <= FEW_ROWS
     valid, invalid = split_valid(batch)
-    domain = upsert_domain(state.domain, valid.select(F.col("host").alias("name")), at)
-    open_now = due(valid, domain, at).select("id").withColumn("is_due", F.lit(True))
+    domain = upsert_domain(state.domain, valid.select(F.col("host").alias("name")), at, few)
+    open_now = due(valid, domain, at, few).select("id").withColumn("is_due", F.lit(True))
     judged = cut_lineage(
-        robots_blocked(valid.join(open_now, "id", "left"), rules, agent).select(
+        robots_blocked(valid.join(open_now, "id", "left"), rules, agent, few).select(
             "id",
             "url",
             "host",
@@ -123,7 +138,7 @@ def crawl_step(
         )
     )
     wanted = judged.filter(F.col("refused").isNull()).select("id", "url", "host")
-    bodies = _fetch(wanted, pages, n, page_buckets).withColumn("outcome", fetch_outcome())
+    bodies = _fetch(wanted, pages, few, page_buckets).withColumn("outcome", fetch_outcome())
     stored = F.col("outcome").isin("html", "other")
     answers = cut_lineage(
         bodies.select("id", "url", "host", "outcome", F.when(stored, hrefs(F.col("body"))).alias("hrefs"))
@@ -140,26 +155,28 @@ def crawl_step(
     links = link_parts(found, mode).filter(F.col("scheme").isin(*SUPPORTED_SCHEMES))
     targets = cut_lineage(links.select(F.col("resolved").alias("url"), "scheme", "host", "path").distinct())
 
-    domain = upsert_domain(domain, targets.select(F.col("host").alias("name")), at)
-    protocols = upsert_protocols(state.protocols, targets.select(F.col("scheme").alias("name")))
-    targets = with_dim_id(with_dim_id(targets, domain, "host", "domain_id"), protocols, "scheme", "scheme_id")
+    few_links = targets.count() <= FEW_ROWS
+    domain = upsert_domain(domain, targets.select(F.col("host").alias("name")), at, few_links)
+    targets = with_dim_id(targets, domain, "host", "domain_id", few=few_links).withColumn(
+        "scheme_id", fixed_scheme_id(F.col("scheme"))
+    )
 
     done = outcomes.filter(F.col("outcome") != "not_due")
-    tried = absent(done.select("url").distinct(), state.tried, ["url"])
+    tried = absent(done.select("url").distinct(), state.tried, ["url"], few)
     fresh = targets
     if skip_known:
-        fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"])
+        fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"], few_links)
     return StepResult(
         state,
         {
-            "queue": dequeue(enqueue(state.queue, fresh, at), done),
-            "domain": update_next_visit(domain, kept.select("host"), at, delay),
-            "protocols": protocols,
-            "url": new_urls(state.url, targets),
+            "queue": dequeue(enqueue(state.queue, fresh, at, few_links), done.select("id"), few),
+            "domain": update_next_visit(domain, kept.select("host"), at, delay, few),
+            "protocols": with_fixed_protocols(state.protocols),
+            "url": new_urls(state.url, targets, few_links),
             "tried": tried,
         },
         outcomes,
-        with_dim_id(bodies.filter(stored).withColumn("fetched_at", at), domain, "host", "domain_id"),
+        _with_domain(bodies.filter(stored).withColumn("fetched_at", at), kept, domain, few),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,11 +145,17 @@ def save_version(tables: dict[str, DataFrame], directory: str, version: int) ->
     """Write one version of the tables: additions for those that only grow, whole tables for the others.
 
     Writing a version again replaces it, and no version is read while it is
-    written.  The table that marks a version as complete is written last.
+    written.  The tables are written side by side, the one that marks a version
+    as complete last.
     """
-    for name in sorted(tables, key=lambda name: name == COMPLETES):
+
+    def save(name: str) -> None:
         tables[name].write.mode("overwrite").parquet(f"{directory}/{name}/version={version}")
 
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(save, [name for name in tables if name != COMPLETES]))
+    save(COMPLETES)
+
 
 def latest_version(spark: SparkSession, directory: str) -> int:
     """The number of the last complete version."""

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.dims import upsert_domain, upsert_protocols, with_dim_id
+from spindrift.operators.dims import FEW_ROWS, fixed_scheme_id, upsert_domain, with_dim_id, with_fixed_protocols
 from spindrift.operators.frontier import enqueue
 from spindrift.operators.links import page_links
 from spindrift.operators.store import new_urls
@@ -36,17 +36,24 @@ def stream_links(
 
 
 def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str, DataFrame]:
-    """The changes that normalized links make: hosts, schemes, queue, and new stored triples."""
+    """The changes that normalized links make: hosts, schemes, queue, and new stored triples.
+
+    The links are written and counted; while they are few, they are sent to the
+    large tables.
+    """
     at = F.lit(now).cast("timestamp_ntz")
-    links = links.filter("scheme_supported").select(F.col("resolved").alias("url"), "scheme", "host", "path").distinct()
-    domain = upsert_domain(state.domain, links.select(F.col("host").alias("name")), at)
-    protocols = upsert_protocols(state.protocols, links.select(F.col("scheme").alias("name")))
-    targets = with_dim_id(with_dim_id(links, domain, "host", "domain_id"), protocols, "scheme", "scheme_id")
+    named = links.filter("scheme_supported").select(F.col("resolved").alias("url"), "scheme", "host", "path")
+    links = cut_lineage(named.distinct())
+    few = links.count() <= FEW_ROWS
+    domain = upsert_domain(state.domain, links.select(F.col("host").alias("name")), at, few)
+    targets = with_dim_id(links, domain, "host", "domain_id", few=few).withColumn(
+        "scheme_id", fixed_scheme_id(F.col("scheme"))
+    )
     return {
         "domain": domain,
-        "protocols": protocols,
-        "queue": enqueue(state.queue, targets, at),
-        "url": new_urls(state.url, targets),
+        "protocols": with_fixed_protocols(state.protocols),
+        "queue": enqueue(state.queue, targets, at, few),
+        "url": new_urls(state.url, targets, few),
     }
 
 
@@ -60,8 +67,7 @@ def merge_batch(directory: str, now: Callable[[int], datetime]) -> Callable[[Dat
 
     def merge(links: DataFrame, batch_id: int) -> None:
         state = load_version(links.sparkSession, directory, batch_id)
-        found = cut_lineage(links)
-        save_version(merge_links(state, found, now(batch_id)), directory, batch_id + 1)
+        save_version(merge_links(state, links, now(batch_id)), directory, batch_id + 1)
 
     return merge
 

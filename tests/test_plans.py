@@ -67,7 +67,7 @@ def test_pages_are_read_by_bucket(spark, tmp_path):
     tables.write_pages(tables.read_pages(spark, DIRECTORY), str(tmp_path / "pages"), 16)
     pages = spark.read.parquet(str(tmp_path / "pages"))
     batch = pages.orderBy("url").limit(1).select(F.lit(1).alias("id"), "url", F.lit("h").alias("host"))
-    fetched = _fetch(batch, pages, 1, 16)
+    fetched = _fetch(batch, pages, True, 16)
     assert fetched.count() == 1
     assert re.search(r"PartitionFilters: \[[^\]]*\(bucket#\d+ = \d+\)", plan(fetched))
 
@@ -82,12 +82,12 @@ def small_skew_limits(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.files.maxPartitionBytes": "256KB",
     }
-    before = {key: spark.conf.get(key) for key in settings}
+    before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
-        spark.conf.set(key, value)
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     yield
     for key, value in before.items():
-        spark.conf.set(key, value)
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def hot_links(spark, path):
