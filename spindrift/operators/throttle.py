@@ -1,7 +1,8 @@
 """Politeness over a whole request log: accept an event only when its key has rested.
 
 An event is accepted if ``ts > last accepted ts + delay`` for its key; the first
-is always accepted, ties go to the smallest id.
+is always accepted, ties go to the smallest id.  Rows without key or time are
+not events and left out.
 
 Keys of ordinary size are read in order within hash partitions, one row at a
 time.  Keys above ``hot_rows`` are never held by one task: their time line is

@@ -30,7 +30,8 @@ RULE_COLUMNS = ("host", "agent", "pos", "pattern", "regex", "rule_len", "allow")
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    """Register a query under its function's name, less the ending that sets it apart from an operator."""
+    QUERIES[run.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -109,12 +110,12 @@ def read_pages(spark, directory):
 
 
 @query
-def parse_url_parts(spark, directory):
+def url_parts_query(spark, directory):
     return pages_of(spark, directory).select("page_id", url_parts(F.col("url")).alias("p")).select("page_id", "p.*")
 
 
 @query
-def content_keys(spark, directory):
+def content_key_query(spark, directory):
     html = F.contains(F.lower("content_type"), F.lit(fetches.HTML_TYPE))
     return fetches_of(spark, directory).select(
         "url", content_key(url_parts(F.col("url")), html).alias("content_key")
@@ -122,7 +123,7 @@ def content_keys(spark, directory):
 
 
 @query
-def robots_targets(spark, directory):
+def robots_target_query(spark, directory):
     return pages_of(spark, directory).select("page_id", robots_target(F.col("url")).alias("target"))
 
 
@@ -260,7 +261,7 @@ def first_per_domain(spark, directory):
 
 
 @query
-def frontier_batch(spark, directory):
+def frontier_query(spark, directory):
     return frontier.frontier(derived.derived_state(spark, directory)[0].queue)
 
 
@@ -423,7 +424,7 @@ def crawl_rounds(spark, directory):
 
 
 @query
-def throttle_events(spark, directory):
+def throttle_query(spark, directory):
     return throttle(table(spark, directory, "events"), "user_id", "ts", "event_id", THROTTLE_DELAY)
 
 
@@ -434,7 +435,7 @@ def throttle_hot_keys(spark, directory):
 
 
 @query
-def stream_new_links(spark, directory):
+def stream_links_query(spark, directory):
     arriving = tables.stream_pages(spark, directory, "pages.parquet")
     return run_available(stream_links(arriving), "stream-links")
 
@@ -458,7 +459,7 @@ def stream_merge_urls(spark, directory):
 
 
 @query
-def stream_throttle_events(spark, directory):
+def stream_throttle_query(spark, directory):
     events = (
         spark.readStream.schema(table(spark, directory, "events").schema)
         .option("pathGlobFilter", "events.parquet")
@@ -503,7 +504,7 @@ def term_frequency(spark, directory):
 
 
 @query
-def search_documents(spark, directory):
+def search_query(spark, directory):
     documents = table(spark, directory, "documents")
     n_docs = documents.agg(F.count("*").alias("n"))
     return search.search(search.postings(documents), n_docs, SEARCH_TERMS)

@@ -310,12 +310,12 @@ ORACLE = {
         f"SELECT host, {COUNT} AS links, CAST(count(DISTINCT path) AS BIGINT) AS paths FROM plain_links GROUP BY host"
     ),
     "read_pages": "SELECT *, 'HTTP/1.1 200 OK' AS status_line, 'text/html' AS content_type FROM pages",
-    "parse_url_parts": f"""SELECT page_id, {scheme('url')} AS scheme, {host('url')} AS host, {port('url')} AS port,
+    "url_parts": f"""SELECT page_id, {scheme('url')} AS scheme, {host('url')} AS host, {port('url')} AS port,
         {path('url')} AS path, {query('url')} AS query, {fragment('url')} AS fragment FROM pages""",
-    "content_keys": sql(
+    "content_key": sql(
         f"""SELECT url, {content_key('url', "contains(content_type, 'text/html')")} AS content_key FROM fetches"""
     ),
-    "robots_targets": f"SELECT page_id, {robots_target('url')} AS target FROM pages",
+    "robots_target": f"SELECT page_id, {robots_target('url')} AS target FROM pages",
     "extract_links": sql("SELECT * FROM plain_found"),
     "resolve_links": sql("SELECT * FROM plain_resolved"),
     "resolve_links_mixed": sql("SELECT * FROM mixed_resolved"),
@@ -366,7 +366,7 @@ ORACLE = {
     "first_per_domain": sql(
         "SELECT * FROM queue QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY added, id) = 1"
     ),
-    "frontier_batch": sql(
+    "frontier": sql(
         """SELECT * FROM (SELECT * FROM queue QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY added, id) = 1)
         ORDER BY added, id LIMIT 10"""
     ),
@@ -424,9 +424,9 @@ ORACLE = {
     "crawl_rounds": sql(
         " UNION ALL ".join(f"SELECT *, {k} AS round FROM outcome_{k}" for k in (1, 2, 3)), 3, skip_known=True
     ),
-    "throttle_events": THROTTLE,
+    "throttle": THROTTLE,
     "throttle_hot_keys": THROTTLE,
-    "stream_new_links": sql("SELECT DISTINCT scheme, host, path FROM plain_links"),
+    "stream_links": sql("SELECT DISTINCT scheme, host, path FROM plain_links"),
     "stream_merge_queue": sql(
         grown_queue(
             "s_queue",
@@ -440,7 +440,7 @@ ORACLE = {
             "s_url", f"({with_ids('plain_links', '(' + grown_domains('s_domain', 'plain_links', BASE) + ')')})"
         )
     ),
-    "stream_throttle_events": THROTTLE,
+    "stream_throttle": THROTTLE,
     "broken_links": sql(
         """SELECT l.page_id, l.url, l.pos, l.href, l.host, l.path, coalesce(s.failure, 'not in snapshot') AS cause
         FROM supported l LEFT JOIN statuses s ON s.host = l.host AND s.path = l.path
@@ -462,7 +462,7 @@ ORACLE = {
     "host_edges": sql(f"SELECT from_host, host AS to_host, {COUNT} AS links FROM from_to GROUP BY ALL"),
     "inverted_index": sql("SELECT * FROM posted"),
     "term_frequency": sql(f"SELECT term, {COUNT} AS df FROM posted GROUP BY term"),
-    "search_documents": sql(
+    "search": sql(
         """SELECT doc_id, round(sum(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1))), 6) AS score
         FROM posted JOIN (SELECT term, count(*) AS df FROM posted GROUP BY term) USING (term)
         WHERE term IN ('the', 'thand', 'nicht', 'para', 'eau')

@@ -105,12 +105,19 @@ def read_state(spark: SparkSession, directory: str) -> CrawlState:
     )
 
 
-def read_state_jdbc(spark: SparkSession, url: str, properties: dict[str, str], **names: str) -> CrawlState:
-    """State tables of an existing database; ``names`` gives table names that differ from ours.
-
-    Queue and links are read in ranges of their id, ``partitions`` at a time.
+def read_state_jdbc(
+    spark: SparkSession,
+    url: str,
+    properties: dict[str, str],
+    names: dict[str, str] | None = None,
+    partitions: int = 64,
+) -> CrawlState:
+    """State tables of an existing database, read in ranges of their ids.
+
+    ``names`` gives table names that differ from ours.  A link table may call its
+    path ``url``.
     """
-    partitions = int(names.pop("partitions", "64"))
+    names = names or {}
 
     def read(name: str) -> DataFrame:
         table = names.get(name, name)

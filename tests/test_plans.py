@@ -25,7 +25,7 @@ def test_no_join_without_a_key(spark, name):
 
 
 def test_url_queries_do_not_read_page_texts(spark):
-    for name in ("parse_url_parts", "robots_blocked", "frontier_batch", "due"):
+    for name in ("url_parts", "robots_blocked", "frontier", "due"):
         text = plan(catalog.QUERIES[name](spark, DIRECTORY))
         assert "FileScan parquet" in text
         assert not re.search(r"ReadSchema: struct<[^>]*html", text)
