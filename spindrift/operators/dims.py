@@ -181,28 +181,40 @@ def content_type_ids(dim: DataFrame, values: DataFrame) -> tuple[DataFrame, Data
 def match_domains(hosts: DataFrame, domain: DataFrame, pattern: bool = False) -> DataFrame:
     """Pairs of host and domain: equal in lower case, or ``name LIKE host`` with ``pattern``.
 
-    For the pattern form each host is looked up by its longest run of literal
-    characters among the names' substrings, together with the name's length
-    unless the host holds ``%``; LIKE then decides.  A host without wildcards is
-    its own run, so it only meets the equal name.
+    For the pattern form a host with wildcards is looked up by its longest run
+    of literal characters, and LIKE then decides.  With ``_`` alone the length
+    of the name and the place of the run are known, so a name is cut at the
+    places that hosts of its length ask for; with ``%`` the run may be anywhere.
     """
-    wanted = hosts.select("host").filter(F.col("host").isNotNull()).distinct()
+    wanted = hosts.select("host", F.lower("host").alias("_host")).filter(F.col("host").isNotNull()).distinct()
     names = domain.select(F.col("id").alias("domain_id"), "name", F.lower("name").alias("_name"))
+    result = ["host", "domain_id", "name"]
+    wild = F.col("_host").rlike("[%_]")
+    plain = wanted.filter(~wild) if pattern else wanted
+    equal = plain.join(names, F.col("_host") == F.col("_name")).select(result)
     if not pattern:
-        return wanted.join(names, F.lower("host") == F.col("_name")).drop("_name")
+        return equal
 
-    runs = F.split(F.lower("host"), "[%_]", -1)
+    runs = F.split("_host", "[%_]", -1)
     longest = F.aggregate(
         runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best)
     )
-    keyed = wanted.select(
-        "host",
-        longest.alias("gram"),
-        F.when(F.contains("host", F.lit("%")), F.lit(-1)).otherwise(F.length("host")).alias("_length"),
-    )
-    lengths = keyed.agg(F.collect_set(F.length("gram"))).scalar()
-    sized = names.withColumn("_length", F.explode(F.array(F.lit(-1), F.length("_name"))))
-    candidates = keyed.join(_substrings(sized, "_name", lengths), ["gram", "_length"])
+    keyed = wanted.filter(wild).withColumn("gram", longest)
     # LIKE's own escape character has no special meaning in a host.
-    like = F.expr(r"_name LIKE replace(lower(host), '\\', '\\\\')")
-    return candidates.filter(like).select("host", "domain_id", "name")
+    like = F.expr(r"_name LIKE replace(_host, '\\', '\\\\')")
+
+    at, size = F.instr("_host", F.col("gram")), F.length("gram")
+    fixed = keyed.filter(~F.contains("_host", F.lit("%"))).withColumns(
+        {"_length": F.length("_host"), "_at": at, "_size": size}
+    )
+    shape = ["_length", "_at", "_size"]
+    shapes = cut_lineage(fixed.select(shape).distinct())
+    shapes = F.broadcast(shapes) if shapes.count() <= FEW_ROWS else shapes
+    cut = names.withColumn("_length", F.length("_name")).join(shapes, "_length")
+    cut = cut.withColumn("gram", F.substr("_name", F.col("_at"), F.col("_size")))
+    placed = cut.join(fixed, [*shape, "gram"]).filter(like).select(result)
+
+    free = keyed.filter(F.contains("_host", F.lit("%")))
+    lengths = free.agg(F.collect_set(F.length("gram"))).scalar()
+    anywhere = free.join(_substrings(names, "_name", lengths), "gram").filter(like).select(result)
+    return equal.unionByName(placed).unionByName(anywhere)

@@ -291,7 +291,11 @@ def update_next_visit(spark, directory):
 
 @query
 def parse_robots(spark, directory):
-    return rules_of(spark, directory)
+    """Rules of bodies that were written as a table and read back."""
+    stored = run_dir(spark, "robots")
+    domain = derived.domain_table(pages_of(spark, directory))
+    derived.robots_table(domain).write.parquet(tables.table_path(stored, "robots"))
+    return robots.parse_robots(tables.read_robots(spark, stored))
 
 
 @query

@@ -41,6 +41,10 @@ from spindrift.sources.tables import (
 )
 
 
+# URLs of a batch that may be listed in a filter on the pages.
+LISTED_URLS = 1_000
+
+
 @dataclass(frozen=True)
 class StepResult:
     """What a step did.
@@ -66,7 +70,9 @@ def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
     )
 
 
-def _fetch(batch: DataFrame, pages: DataFrame, few: bool, buckets: int | None = None) -> DataFrame:
+def _fetch(
+    batch: DataFrame, pages: DataFrame, few: bool, n: int | None, buckets: int | None = None
+) -> DataFrame:
     """Batch rows with their newest snapshot.
 
     The small side moves to the pages; copies of a page are reduced to one by
@@ -79,6 +85,9 @@ def _fetch(batch: DataFrame, pages: DataFrame, few: bool, buckets: int | None =
         # At most ``buckets`` small numbers; they prune the folders that are read.
         folders = [row.bucket for row in batch.select("bucket").distinct().collect()]
         pages = pages.filter(F.col("bucket").isin(folders))
+    if n is not None and n <= LISTED_URLS:
+        # So few URLs can be told to the scan, which skips files and row groups sorted by URL.
+        pages = pages.filter(F.col("url").isin([row.url for row in batch.select("url").collect()]))
     batch = F.broadcast(batch) if few else batch
     body = F.col("body" if "body" in pages.columns else "html")
     taken_at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp_ntz")
@@ -138,7 +147,7 @@ def crawl_step(
         )
     )
     wanted = judged.filter(F.col("refused").isNull()).select("id", "url", "host")
-    bodies = _fetch(wanted, pages, few, page_buckets).withColumn("outcome", fetch_outcome())
+    bodies = _fetch(wanted, pages, few, n, page_buckets).withColumn("outcome", fetch_outcome())
     stored = F.col("outcome").isin("html", "other")
     answers = cut_lineage(
         bodies.select("id", "url", "host", "outcome", F.when(stored, hrefs(F.col("body"))).alias("hrefs"))

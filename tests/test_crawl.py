@@ -39,11 +39,19 @@ def start(spark, urls=(A1,), domains=(("a.example", T0 - timedelta(seconds=1)),)
     )
 
 
+@pytest.fixture(params=["few", "many"])
+def size(request, monkeypatch):
+    """Both ways to meet the large tables: the small side is sent, or both are shuffled."""
+    if request.param == "many":
+        monkeypatch.setattr("spindrift.plans.crawl.FEW_ROWS", -1)
+        monkeypatch.setattr("spindrift.streaming.links.FEW_ROWS", -1)
+
+
 def outcomes(df):
     return sorted((r.round, r.url, r.outcome) for r in df.collect())
 
 
-def test_rounds_end_when_known_urls_are_skipped(spark, tmp_path):
+def test_rounds_end_when_known_urls_are_skipped(spark, tmp_path, size):
     state, tried = crawl(
         start(spark), web(spark), no_rules(spark), T0, rounds=9, skip_known=True,
         directory=str(tmp_path / "run"), content=str(tmp_path / "content"),
@@ -71,7 +79,7 @@ def test_no_rounds(spark):
     assert tried.count() == 0 and state.queue.count() == 0
 
 
-def test_outcomes_of_one_step(spark):
+def test_outcomes_of_one_step(spark, size):
     names = ("due", "late", "equal", "shut", "gone", "moved", "pdf", "void")
     urls = [f"http://{n}.example/p" for n in names] + ["nonsense", "http://new.example/"]
     early, hour = T0 - timedelta(hours=1), T0 + timedelta(hours=1)
@@ -151,7 +159,7 @@ def test_stream_links_over_batches(spark, tmp_path):
     assert sorted(run_available(bounded, "w", str(tmp_path / "out-w")).collect()) == sorted(got.collect())
 
 
-def test_stream_merge_is_idempotent_and_goes_on(spark, tmp_path):
+def test_stream_merge_is_idempotent_and_goes_on(spark, tmp_path, size):
     directory = str(tmp_path / "merge")
 
     def clock(batch):

@@ -67,8 +67,9 @@ def test_pages_are_read_by_bucket(spark, tmp_path):
     tables.write_pages(tables.read_pages(spark, DIRECTORY), str(tmp_path / "pages"), 16)
     pages = spark.read.parquet(str(tmp_path / "pages"))
     batch = pages.orderBy("url").limit(1).select(F.lit(1).alias("id"), "url", F.lit("h").alias("host"))
-    fetched = _fetch(batch, pages, True, 16)
+    fetched = _fetch(batch, pages, True, 1, 16)
     assert fetched.count() == 1
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(url,http", plan(fetched))
     assert re.search(r"PartitionFilters: \[[^\]]*\(bucket#\d+ = \d+\)", plan(fetched))
 
 
