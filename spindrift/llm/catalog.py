@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm.common import table
+from spindrift.llm.fmindex import contamination
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.shards import shard_by_bytes
+from spindrift.llm.simhash import duplicates_report
+from spindrift.llm.vptree import neighbours
 from spindrift.llm.warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +37,19 @@ def op2_warc(spark, directory):
 @query
 def op3_minimax_shards(spark, directory):
     return shard_by_bytes(table(spark, directory, "documents"), 16)
+
+
+@query
+def op4_vantage_point_trees(spark, directory):
+    rows = table(spark, directory, "embeddings")
+    return neighbours(rows, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_fm_index_decontamination(spark, directory):
+    return contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@query
+def op9_simhash_multi_index(spark, directory):
+    return duplicates_report(table(spark, directory, "documents"))
