@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import table
 from spindrift.llm.fmindex import contamination
+from spindrift.llm.hmm import score_documents
+from spindrift.llm.langid import language_report
 from spindrift.llm.packing import pack_documents
+from spindrift.llm.quality import quality_report
 from spindrift.llm.shards import shard_by_bytes
 from spindrift.llm.simhash import duplicates_report
 from spindrift.llm.vptree import neighbours
@@ -53,3 +56,18 @@ def op5_fm_index_decontamination(spark, directory):
 @query
 def op9_simhash_multi_index(spark, directory):
     return duplicates_report(table(spark, directory, "documents"))
+
+
+@query
+def op7_string_kernel_language(spark, directory):
+    return language_report(table(spark, directory, "documents"))
+
+
+@query
+def op8_neighbour_vote_quality(spark, directory):
+    return quality_report(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query
+def op10_hidden_markov_scores(spark, directory):
+    return score_documents(table(spark, directory, "documents"))
