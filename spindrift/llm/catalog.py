@@ -13,6 +13,7 @@ from spindrift.llm.hmm import score_documents
 from spindrift.llm.langid import language_report
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.quality import quality_report
+from spindrift.llm.repeats import repeat_report
 from spindrift.llm.shards import shard_by_bytes
 from spindrift.llm.simhash import duplicates_report
 from spindrift.llm.vptree import neighbours
@@ -71,3 +72,8 @@ def op8_neighbour_vote_quality(spark, directory):
 @query
 def op10_hidden_markov_scores(spark, directory):
     return score_documents(table(spark, directory, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark, directory):
+    return repeat_report(table(spark, directory, "documents"))

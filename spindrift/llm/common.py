@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spindrift.session import run_dir
 from spindrift.sources.tables import table_path
 
+LAST_DOC = (1 << 63) - 1
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(directory, name))
@@ -34,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Rows with a unique (doc, tie) in the order of their ids, null ones last; a copy is kept where ids are not unique."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC))
+    twice = docs.groupBy(doc.alias("doc")).count().filter("count > 1").limit(1).count()
+    if not twice:
+        return docs.withColumn("doc", doc).withColumn("tie", F.lit(0).cast("long"))
+    return written(docs.withColumn("doc", doc).withColumn("tie", F.monotonically_increasing_id()), "identified")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

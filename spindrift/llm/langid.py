@@ -106,14 +106,14 @@ def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndar
     for row in counts:
         most = F.when(F.col("lang") == row.lang, int(scale * min(1.0, per_language / row["count"]))).otherwise(most)
     draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(scale))
-    schema = pa.schema([("lang", pa.string()), ("there", pa.list_(pa.int32()))])
+    schema = pa.schema([("lang", pa.string()), ("there", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, batch.column("lang"), [presence(t) for t in batch.column("text").to_pylist()])
+            yield batch_of(schema, batch.column("lang"), [presence(t).tobytes() for t in batch.column("text").to_pylist()])
 
-    drawn = docs.filter(draw < most).select("lang", "text").mapInArrow(run, "lang string, there array<int>")
-    rows = [(r.lang, np.array(r.there, np.int64)) for r in drawn.collect()]
+    drawn = docs.filter(draw < most).select("lang", "text").mapInArrow(run, "lang string, there binary")
+    rows = [(r.lang, np.frombuffer(r.there, np.int64)) for r in drawn.collect()]
     return sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tolist()))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import batch_of, crc_mod, utf8
 
-SAMPLE = 3_000
+SAMPLE = 2_000
 RANK = 64
 NEIGHBOURS = 25
 POWER = 4
@@ -120,25 +120,24 @@ def voters(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, n
     drawn = mean.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).collect()
     small = docs.sparkSession.createDataFrame([(r.doc_id, float(r.label)) for r in drawn], "doc_id long, label double")
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("label", pa.float64()), ("place", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))]
+        [("doc_id", pa.int64()), ("label", pa.float64()), ("place", pa.binary()), ("weight", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [term_weights(t) for t in utf8(batch.column("text"))]
             places = [np.flatnonzero(w).astype(np.int32) for w in full]
-            yield batch_of(
-                schema, batch.column("doc_id"), batch.column("label"), places, [w[p] for w, p in zip(full, places)]
-            )
+            values = [w[p].tobytes() for w, p in zip(full, places)]
+            yield batch_of(schema, batch.column("doc_id"), batch.column("label"), [p.tobytes() for p in places], values)
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(small), "doc_id")
     rows = (
-        own.mapInArrow(run, "doc_id long, label double, place array<int>, weight array<float>")
+        own.mapInArrow(run, "doc_id long, label double, place binary, weight binary")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     )
     weights = np.zeros((len(rows), TERMS), np.float32)
     for out, row in zip(weights, rows):
-        out[row.place] = row.weight
+        out[np.frombuffer(row.place, np.int32)] = np.frombuffer(row.weight, np.float32)
     return weights, np.array([r.label for r in rows])
 
 

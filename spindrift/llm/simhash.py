@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, utf8, written
+from spindrift.llm.common import batch_of, identified, utf8, written
 from spindrift.llm.components import components
 
 SEED = 42
@@ -313,7 +313,13 @@ def duplicates_report(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each group of near duplicates."""
-    found = near_duplicates(docs, plan)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` less all but one of each group of near duplicates: that with the smallest doc_id.
+
+    Of rows that share a doc_id or have none, which are different documents, the first read stays.
+    """
+    marked = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    ids = marked.select(F.xxhash64("doc", "tie").alias("doc_id"), "text", "doc", "tie")
+    found = near_duplicates(ids.select("doc_id", "text"), plan)
+    named = ids.select("doc_id", "doc", "tie").join(found.select("doc_id", "component_id"), "doc_id")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc", "tie")).alias("first")).select("first.*")
+    return marked.join(kept, ["doc", "tie"], "left_semi").select("row.*")
