@@ -10,9 +10,10 @@ which one agrees exactly if at most ``radius`` bits of the segment differ, so
 rows with an equal part meet in one task, which holds that share of the table
 and enumerates the balls over the other parts.  Equal fingerprints are one row
 beforehand.  A part's value shared by more than ``split_rows`` fingerprints is
-dealt out in pairs of blocks.  A task returns a spanning forest of the links
-that it has verified, never pairs; links are joined to components by
-``components``.
+dealt out in pairs of blocks.  A task returns of the links that it has
+verified those that join up the same fingerprints, nearest first, never all
+pairs; ``components`` joins the links of all tasks.  A plan with a similarity
+keeps those whose shingle sets are that similar.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; texts with fewer words than a shingle are
@@ -48,13 +49,17 @@ MIX_A, MIX_B, MIX_STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7
 
 @dataclass(frozen=True)
 class Plan:
-    """What is linked: fingerprints of ``64 * words`` bits that differ in at most ``distance``."""
+    """What is linked: fingerprints of ``64 * words`` bits that differ in at most ``distance``.
+
+    With a ``similarity``, a link also needs shingle sets of at least that Jaccard similarity.
+    """
 
     shingle: int
     words: int
     segments: int
     radius: int
     distance: int
+    similarity: float | None = None
 
     @property
     def length(self) -> int:
@@ -77,12 +82,17 @@ class Plan:
 EXACT = Plan(shingle=3, words=1, segments=2, radius=1, distance=3)
 
 
-def similar(similarity: float, shingle: int = 5, words: int = 5, segments: int = 16, slack: float = 1.0) -> Plan:
-    """Links for sets of shingles with at least this Jaccard similarity, as fingerprints estimate it."""
+def similar(similarity: float, shingle: int = 5, words: int = 5, segments: int = 16) -> Plan:
+    """Links of shingle sets with at least this Jaccard similarity.
+
+    Their fingerprints are expected to differ in a share of bits that follows from the cosine; two standard
+    deviations more let all but a few pairs at the very limit pass on to the comparison of the sets.
+    """
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
     bits = 64 * words
-    return Plan(shingle, words, segments, 1, round(bits * share + slack * math.sqrt(bits * share * (1 - share))))
+    distance = round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    return Plan(shingle, words, segments, 1, distance, similarity)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -194,21 +204,24 @@ def dealt(rows: DataFrame, split_rows: int) -> DataFrame:
     return marked.select("key", F.explode(others).alias("block"), "node", "code")
 
 
-def forest(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, plan: Plan, part: int) -> np.ndarray:
-    """For each row, the first row of those it is linked to; ``groups`` tells apart what must not meet."""
+def forest(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, plan: Plan, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join up all rows whose codes are near; ``groups`` tells apart what must not meet."""
     label = np.arange(len(codes))
     order = np.lexsort((values, groups))
     codes = codes[order]
     # One sortable number for (group, value): groups are runs, so their number is enough.
     run = np.cumsum(np.concatenate(([0], np.diff(groups[order]) != 0))).astype(np.uint64)
     keys = (run << np.uint64(plan.length)) | values[order]
+    kept_a, kept_b = [], []
     for difference in plan.balls(part):
         near = keys ^ np.uint64(difference)
-        low = np.searchsorted(keys, near, "left")
+        high = np.searchsorted(keys, near, "right")
         if difference == 0:
             low = np.arange(len(keys)) + 1
-        high = np.searchsorted(keys, near, "right")
-        found = high - low if difference == 0 else np.where(near > keys, high - low, 0)
+            found = high - low
+        else:
+            low = np.searchsorted(keys, near, "left")
+            found = np.where(near > keys, high - low, 0)
         some = np.flatnonzero(found > 0)
         total = np.cumsum(found[some])
         at = 0
@@ -219,12 +232,27 @@ def forest(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, plan: Plan
             a = np.repeat(rows, n)
             b = np.repeat(low[rows] - (np.cumsum(n) - n), n) + np.arange(len(a))
             apart = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1, dtype=np.int64)
-            near_enough = apart <= plan.distance
-            join(label, a[near_enough], b[near_enough])
+            close = apart <= plan.distance
+            for x, y in spanning(label, a[close], b[close], apart[close]):
+                kept_a.append(x), kept_b.append(y)
             at = to
-    out = np.empty(len(label), np.int64)
-    out[order] = order[label]
-    return out
+    none = np.empty(0, np.int64)
+    return order[np.concatenate([none, *kept_a])], order[np.concatenate([none, *kept_b])]
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between parts that ``label`` still tells apart: each part's nearest, until none is left."""
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    while len(a):
+        la, lb = label[a], label[b]
+        differ = la != lb
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        if not len(a):
+            return
+        first = np.unique(np.concatenate([np.unique(x, return_index=True)[1] for x in (la, lb)]))
+        yield a[first], b[first]
+        join(label, a[first], b[first])
 
 
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -257,9 +285,8 @@ def links(codes: DataFrame, plan: Plan, split_rows: int = SPLIT_ROWS) -> DataFra
             own = np.flatnonzero(kind == this)
             segment, part = divmod(int(this), plan.radius + 1)
             values = segment_values(code[own], plan, segment)
-            first = forest(code[own], values, group[own], plan, part)
-            other = first != np.arange(len(own))
-            a.append(node[own[other]]), b.append(node[own[first[other]]])
+            one, other = forest(code[own], values, group[own], plan, part)
+            a.append(node[own[one]]), b.append(node[own[other]])
         return batch_of(out, np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +316,38 @@ def links(codes: DataFrame, plan: Plan, split_rows: int = SPLIT_ROWS) -> DataFra
     return grouped.mapInArrow(run, "a long, b long")
 
 
+def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, plan: Plan) -> DataFrame:
+    """The edges whose shingle sets are similar enough; equal fingerprints stand for one document of theirs."""
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = codes.join(ends, "node").select("node", F.col("first").alias("doc_id"))
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t, plan.shingle)).tobytes() for t in utf8(batch.column("text"))]
+            yield batch_of(schema, batch.column("node"), own)
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
+    of = written(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
+    both = edges.join(of.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
+        of.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"
+    )
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= plan.similarity * max(1, len(x) + len(y) - shared) or not len(x) + len(y))
+            kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch_of(out, kept.column("a"), kept.column("b"))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(doc_id, code, component_id): the smallest doc_id that links lead to."""
     marked = fingerprints(docs, plan)
@@ -297,7 +356,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, split_rows: int = SPLIT
     codes = written(
         marked.groupBy("node", "code").agg(F.min("doc_id").alias("first")), "codes"
     )
-    linked = written(components(links(codes, plan, split_rows)), "components")
+    edges = links(codes, plan, split_rows)
+    if plan.similarity is not None:
+        edges = verified(edges, docs, codes, plan)
+    linked = written(components(edges), "components")
     named = codes.select("node", "first").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
