@@ -25,7 +25,6 @@ columns cannot clash (``decontaminate`` keeps all columns of its input).
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -253,7 +252,7 @@ def merged(old: dict, new: tuple) -> tuple:
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Add ``hits``: number of words, spans of words that benchmark windows cover, and the items they belong to."""
+    """Add ``hits``, to rows without such a column: number of words, spans of words that benchmark windows cover, and the items they belong to."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
@@ -295,19 +294,20 @@ def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with benchmark passages cut out of their texts; columns as they were, ``n_chars`` following the text."""
     schema = docs.schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.column("row").flatten()
+            old = rows[names.index("text")]
             texts = [
                 cut_words(t, h["starts"], h["ends"]) if h["starts"] else t
-                for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist())
+                for t, h in zip(old.to_pylist(), batch.column("hits").to_pylist())
             ]
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            rows[names.index("text")] = pa.array(texts, old.type)
+            yield pa.RecordBatch.from_arrays(rows, names)
 
-    cut = with_hits(docs, benchmark, window).mapInArrow(run, schema)
-    return cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else cut
+    marked = docs.select(F.struct(*names).alias("row"), "text")
+    cut = with_hits(marked, benchmark, window).select("row", "hits").mapInArrow(run, schema)
+    return cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else cut
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -412,12 +412,11 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **lim
 def without_repeats(text: str, starts: list[int], ends: list[int]) -> str:
     """The text without its repeated spans, less the characters that a span only partly covers."""
     data = text.encode()
-    inner = [(a, b) for a, b in zip(starts, ends)]
     whole = []
-    for a, b in inner:
-        while a < len(data) and data[a] & 0xC0 == 0x80:
+    for a, b in zip(starts, ends):
+        while a < b and data[a] & 0xC0 == 0x80:
             a += 1
-        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+        while a < b < len(data) and data[b] & 0xC0 == 0x80:
             b -= 1
         whole.append((a, b))
     return without(data, [a for a, _ in whole], [b for _, b in whole]).decode()

@@ -38,7 +38,7 @@ from spindrift.llm.common import batch_of, written
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 512
 LEAF = 128
-FACTOR = 4.0
+FACTOR = 1.5
 SLACK = 1e-9
 
 
