@@ -37,6 +37,22 @@ def robots_regex(pattern: Column) -> Column:
     return F.replace(escaped, F.lit("*"), F.lit(".*"))
 
 
-def is_plain(pattern: Column) -> Column:
-    """Whether a pattern is a bare substring, which needs no regex to be found."""
-    return ~(F.contains(pattern, F.lit("*")) | F.endswith(pattern, F.lit("$")))
+def pattern_found(pattern: Column, target: Column) -> Column:
+    """Whether a pattern occurs in a target, as its regex says, but in time that grows with their lengths only.
+
+    The pieces between stars are looked for one after another, each as early as
+    it can be; a piece before a final ``$`` has to end the target.
+    """
+    anchored = F.endswith(pattern, F.lit("$"))
+    pieces = F.split(F.when(anchored, F.regexp_replace(pattern, r"\$\z", "")).otherwise(pattern), r"\*", -1)
+    final = F.element_at(pieces, -1)
+    inner = F.when(anchored, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+
+    def after(at: Column, piece: Column) -> Column:
+        """The place after a piece found at or after ``at``; 0 once a piece was missing."""
+        found = F.position(piece, target, at)
+        return F.when((at == 0) | (piece == ""), at).when(found > 0, found + F.length(piece)).otherwise(0)
+
+    at = F.aggregate(inner, F.lit(1), after)
+    ends = F.endswith(target, final) & (F.length(target) - F.length(final) + 1 >= at)
+    return (at > 0) & (~anchored | ends)

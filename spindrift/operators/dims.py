@@ -159,12 +159,13 @@ def content_type_ids(dim: DataFrame, values: DataFrame) -> tuple[DataFrame, Data
 
     A value gets the smallest id of an entry that contains it, without regard to
     case and with ``%`` and ``_`` taken literally.  Values contained nowhere are
-    added, one entry per spelling without regard to case.
+    added, one entry per spelling without regard to case.  A missing value counts as
+    empty, which every entry contains.
 
     Containment is an equality here: the entries' substrings of the lengths
     looked for, reduced to the smallest id each, are joined on the value itself.
     """
-    wanted = values.select("value").distinct().withColumn("gram", F.lower("value"))
+    wanted = values.select(F.coalesce("value", F.lit("")).alias("value")).distinct().withColumn("gram", F.lower("value"))
     lengths = wanted.agg(F.collect_set(F.length("gram"))).scalar()
     entries = dim.select("id", F.lower("value").alias("entry"))
     smallest = _substrings(entries, "entry", lengths).groupBy("gram").agg(F.min("id").alias("found"))

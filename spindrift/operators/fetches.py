@@ -16,13 +16,14 @@ def is_ok(status_line: Column) -> Column:
     return F.coalesce(status_line.isin(*OK_STATUS), F.lit(False))
 
 
-def fetch_outcome() -> Column:
+def fetch_outcome(body: Column | None = None) -> Column:
     """``html``, ``other``, ``empty`` or ``skipped`` by status line, content type and body."""
+    body = F.col("body") if body is None else body
     html = F.contains(F.lower("content_type"), F.lit(HTML_TYPE))
     return (
         F.when(~is_ok(F.col("status_line")), "skipped")
         .when(html, "html")
-        .when(F.coalesce(F.length("body"), F.lit(0)) == 0, "empty")
+        .when(F.coalesce(F.length(body), F.lit(0)) == 0, "empty")
         .otherwise("other")
     )
 

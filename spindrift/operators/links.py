@@ -26,9 +26,20 @@ from spindrift.functions.urls import (
 HREF = r"""(?id)<a.+?href=("|')(?!javascript:|#)(.+?)("|')"""
 
 
+# What of a line the pattern can still match: up to the closing quote of its last link value.
+LINKED = r"""(?id)^(.*href=("|')(?!javascript:|#).+?("|'))"""
+
+
 def hrefs(html: Column) -> Column:
-    """All link values of a page in document order, duplicates kept."""
-    return F.regexp_extract_all(html, F.lit(HREF), 2)
+    """All link values of a page in document order, duplicates kept.
+
+    The pattern never reaches over a line's end.  Lines are cut behind their
+    last link value first, so that no opening tag is left to be tried against
+    the rest of its line in vain; time then grows with the text only.
+    """
+    linked = F.transform(F.split(html, "\n", -1), lambda line: F.regexp_extract(line, LINKED, 1))
+    found = F.transform(F.filter(linked, lambda line: line != ""), lambda line: F.regexp_extract_all(line, F.lit(HREF), 2))
+    return F.flatten(found)
 
 
 def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import page_url
@@ -13,6 +14,9 @@ from spindrift.session import cut_lineage
 
 PAGE_SIZE = 10
 
+# Rows up to a page that may be kept by every task.
+NEAR_ROWS = 10_000
+
 
 def crawl_report(url: DataFrame, domain: DataFrame, queue: DataFrame) -> DataFrame:
     """One row with the number of links, domains and queued URLs."""
@@ -41,23 +45,36 @@ def link_list(url: DataFrame, domain: DataFrame, protocols: DataFrame) -> DataFr
 
 
 def page_of(df: DataFrame, page: int | None = 1, page_size: int = PAGE_SIZE, order: str = "id") -> DataFrame:
-    """The rows of one page; page 0 or none is the first."""
+    """The rows of one page; page 0 or none is the first.
+
+    Near the top a task keeps no more rows than lie up to the page.  Deep pages
+    are looked for in ranges: only those that reach into the page are sorted.
+    """
     start = (max(page or 1, 1) - 1) * page_size
-    return df.orderBy(order).offset(start).limit(page_size)
+    if start <= NEAR_ROWS:
+        return df.orderBy(order).offset(start).limit(page_size)
+    cut = ranged(df, order)
+    before, wanted = 0, []
+    for row in cut.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        if before + row["count"] > start and before < start + page_size:
+            wanted.append((row["_range"], before))
+        before += row["count"]
+    if not wanted:
+        return cut.drop("_range").limit(0)
+    found = cut.filter(F.col("_range").isin([number for number, _ in wanted])).drop("_range")
+    inside = start - wanted[0][1]
+    middle = found.withColumn("_rank", F.row_number().over(W.orderBy(order)))
+    return middle.filter((F.col("_rank") > inside) & (F.col("_rank") <= inside + page_size)).drop("_rank").orderBy(order)
 
 
 def page_index(
-    df: DataFrame, page_size: int = PAGE_SIZE, order: str = "id", buckets: int = 1 << 16
+    df: DataFrame, page_size: int = PAGE_SIZE, order: str = "id"
 ) -> DataFrame:
-    """Add ``page``, the page that each row falls on.
+    """Add ``page``, the page that each row falls on; ``order`` is a unique column."""
+    ranked = bucketed_rank(ranged(df, order), F.col("_range"), [order], "_rank")
+    return ranked.withColumn("page", F.ceil(F.col("_rank") / page_size)).drop("_rank", "_range")
 
-    ``order`` is a unique whole-number column.  Its range is cut in equal
-    stretches that are numbered in parallel.
-    """
-    df = cut_lineage(df)
-    bounds = df.agg(F.struct(F.min(order).alias("low"), F.max(order).alias("high"))).scalar()
-    # Dividing first keeps the product inside a bigint for any id.
-    width = F.greatest((bounds["high"] - bounds["low"] + buckets) / F.lit(buckets), F.lit(1.0))
-    bucket = F.floor((F.col(order) - bounds["low"]) / width)
-    ranked = bucketed_rank(df, bucket, [order], "_rank")
-    return ranked.withColumn("page", F.ceil(F.col("_rank") / page_size)).drop("_rank")
+
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """The rows, written once, with the number of their range: ranges follow the order and hold like numbers of rows."""
+    return cut_lineage(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))

@@ -10,7 +10,7 @@ from spindrift.functions.robots import (
     AGENT_FIELD,
     DIRECTIVE,
     FORBIDS,
-    is_plain,
+    pattern_found,
     robots_regex,
     robots_target,
     trim_blanks,
@@ -20,13 +20,20 @@ from spindrift.operators.dims import near
 from spindrift.session import cut_lineage
 
 
+# What the rules of a batch's hosts may take up when they are sent to every task.
+RULE_BYTES = 32 << 20
+
+
 def parse_robots(robots: DataFrame) -> DataFrame:
     """Rules of every host: ``host, agent, pos, pattern, regex, rule_len, allow``.
 
     A rule belongs to the last agent named above it.  The window by host holds
-    the lines of one robots body, which came from one row.
+    the lines of one robots body: the newest if a host has several, by
+    ``fetched_at`` where that is known, then the last in order of its text.
     """
-    lines = robots.select("host", F.posexplode(F.split("body", "\n")).alias("pos", "raw"))
+    order = F.struct(*[c for c in ("fetched_at", "body") if c in robots.columns])
+    newest = robots.groupBy("host").agg(F.max_by("body", order).alias("body"))
+    lines = newest.select("host", F.posexplode(F.split("body", "\n")).alias("pos", "raw"))
     text = F.regexp_replace(F.replace("raw", F.lit("\r"), F.lit("")), "(?s)#.*", "")
     fields = F.split("text", ":")
     parsed = (
@@ -80,10 +87,7 @@ def _blocked(rules: Column, target: Column) -> Column:
     """Verdict of the strongest rule found in the target; rules after it are not tried."""
 
     def judge(verdict: Column, rule: Column) -> Column:
-        found = F.when(is_plain(rule["pattern"]), F.contains(target, rule["pattern"])).otherwise(
-            F.rlike(target, F.concat(F.lit("(?d)"), rule["regex"]))
-        )
-        return F.when(verdict.isNotNull(), verdict).when(found, ~rule["allow"])
+        return F.when(verdict.isNotNull(), verdict).when(pattern_found(rule["pattern"], target), ~rule["allow"])
 
     verdict = F.aggregate(rules, F.lit(None).cast("boolean"), judge)
     return F.coalesce(verdict, F.lit(False))
@@ -101,6 +105,12 @@ def robots_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*", few: boo
     if few:
         rules = near(rules, hosted.select(F.col("_host").alias("host")), ["host"])
     packed = cut_lineage(rules_by_host(rules, agent).withColumnRenamed("host", "_host"))
+    if few:
+        held = F.aggregate(
+            "rules", F.lit(0).cast("bigint"),
+            lambda sum, rule: sum + F.octet_length(rule["pattern"]) + F.octet_length(rule["regex"]) + 32,
+        )
+        few = (packed.agg(F.sum(held + 64)).first()[0] or 0) <= RULE_BYTES
     return (
         hosted.withColumn("_target", robots_target(F.col("url")))
         .join(F.broadcast(packed) if few else packed, "_host", "left")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.session import cut_lineage
+from spindrift.sources.tables import layouts
 
 # Fixed value: what separates terms.
 NOT_A_TERM = r"[^\p{L}\p{N}]+"
@@ -35,20 +38,19 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 
 def search(
-    index: DataFrame, n_docs: DataFrame, terms: Sequence[str], k: int = 10,
-    n_buckets: int = INDEX_BUCKETS,
+    index: DataFrame, n_docs: DataFrame, terms: Sequence[str], k: int = 10
 ) -> DataFrame:
     """The ``k`` best documents by the sum of ``tf * ln((N + 1) / (df + 1))``; ties by ``doc_id``.
 
     ``index`` may be fresh postings or a stored index; ``n_docs`` is one row
     ``n``.  Only the postings of the query's terms are read; in a stored index
-    that is a few of its ``n_buckets`` folders.
+    that is a few of its folders, whose names tell how many there are.
     """
     wanted = sorted({t.lower() for t in terms})
     hits = index.filter(F.col("term").isin(wanted))
-    if "bucket" in index.columns:
-        buckets = [term_bucket(F.lit(t), n_buckets) for t in wanted]
-        hits = hits.filter(F.col("bucket").isin(*buckets))
+    if counts := layouts(index):
+        folders = [(F.col("buckets") == n) & (F.col("bucket") == term_bucket(F.lit(t), n)) for n in counts for t in wanted]
+        hits = hits.filter(reduce(or_, folders))
     # Both the document counts and the scores need the hits, which may come from raw texts.
     hits = cut_lineage(hits.select("term", "doc_id", "tf"))
     stats = term_stats(hits)
@@ -67,12 +69,12 @@ def term_bucket(term, buckets: int):
 
 
 def write_index(index: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
-    """Postings partitioned by a hash of the term and sorted by it."""
+    """Postings partitioned by a hash of the term and sorted by it; the number of buckets is part of the layout."""
     (
-        index.withColumn("bucket", term_bucket(F.col("term"), buckets))
+        index.withColumns({"buckets": F.lit(buckets), "bucket": term_bucket(F.col("term"), buckets)})
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term", "doc_id")
         .write.mode("errorifexists")
-        .partitionBy("bucket")
+        .partitionBy("buckets", "bucket")
         .parquet(path)
     )

@@ -4,8 +4,8 @@ An event is accepted if ``ts > last accepted ts + delay`` for its key; the first
 is always accepted, ties go to the smallest id.  Rows without key or time are
 not events and left out.
 
-Keys of ordinary size are read in order within hash partitions, one row at a
-time.  Keys above ``hot_rows`` are never held by one task: their time line is
+Keys of ordinary size are read in order within hash partitions; a search in the
+sorted times of a key leads from each accepted event to the next.  Keys above ``hot_rows`` are never held by one task: their time line is
 solved as jumps (event -> next acceptable event) that are composed over blocks
 of doubling length, then followed down from the first event.
 """
@@ -14,10 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spindrift.functions.times import from_micros, micros
 from spindrift.operators.dims import FEW_ROWS
 from spindrift.session import cut_lineage
 
@@ -34,7 +38,7 @@ def throttle(
         raise ValueError("delay must be positive")
     log = events.select(
         F.col(key).alias("key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        micros(F.col(ts), events.schema[ts].dataType).alias("us"),
         F.col(id).alias("id"),
     ).filter(F.col("us").isNotNull() & F.col("key").isNotNull())
 
@@ -54,7 +58,7 @@ def throttle(
         accepted = _accept_in_order(usual, step).unionByName(
             _accept_by_jumps(busy, step, bounds["first"], bounds["last"])
         )
-    restored = F.timestamp_micros("us").cast(events.schema[ts].dataType)
+    restored = from_micros(F.col("us"), events.schema[ts].dataType)
     return accepted.select(F.col("key").alias(key), restored.alias(ts), F.col("id").alias(id))
 
 
@@ -62,17 +66,22 @@ def _accept_in_order(log: DataFrame, step: int) -> DataFrame:
     """One pass over each sorted partition; what is carried along is one key and one time."""
 
     def accept(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         seen, rested = None, None
         for batch in batches:
-            keep = []
-            for key, us in zip(batch.column("key").to_pylist(), batch.column("us").to_pylist()):
-                taken = key != seen or us > rested
-                if taken:
-                    seen, rested = key, us + step
-                keep.append(taken)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keys, times = batch.column("key"), batch.column("us").to_numpy()
+            keep = np.zeros(len(times), bool)
+            if len(times):
+                new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(times)]
+                for start, end in zip(edges, edges[1:]):
+                    key, own = keys[start].as_py(), times[start:end]
+                    at = int(own.searchsorted(rested, side="right")) if key == seen else 0
+                    seen = key
+                    while at < len(own):
+                        keep[start + at] = True
+                        rested = int(own[at]) + step
+                        at = int(own.searchsorted(rested, side="right"))
+            yield batch.filter(pa.array(keep))
 
     return (
         log.repartition("key").sortWithinPartitions("key", "us", "id").mapInArrow(accept, log.schema)

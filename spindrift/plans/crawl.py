@@ -34,6 +34,7 @@ from spindrift.session import cut_lineage, run_dir
 from spindrift.sources.tables import (
     GROWING,
     CrawlState,
+    layouts,
     load_version,
     page_bucket,
     save_version,
@@ -44,6 +45,9 @@ from spindrift.sources.tables import (
 # URLs of a batch that may be listed in a filter on the pages.
 LISTED_URLS = 1_000
 
+# What the hashes of a batch's URLs may take up when they are sent to every task.
+HASH_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class StepResult:
@@ -70,21 +74,25 @@ def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
     )
 
 
-def _fetch(
-    batch: DataFrame, pages: DataFrame, few: bool, n: int | None, buckets: int | None = None
-) -> DataFrame:
+def _fetch(batch: DataFrame, pages: DataFrame, few: bool, n: int | None) -> DataFrame:
     """Batch rows with their newest snapshot.
 
     The small side moves to the pages; copies of a page are reduced to one by
-    each task before any text is shuffled.
+    each task before any text is shuffled.  A batch that is too large to be sent
+    whole goes as hashes of its URLs, while those fit into ``HASH_BYTES``, so
+    that texts of other pages are left where they are.
     """
     keys = ["url"]
-    if buckets and "bucket" in pages.columns:
-        batch = batch.withColumn("bucket", page_bucket(F.col("url"), buckets))
-        keys = ["bucket", "url"]
-        # At most ``buckets`` small numbers; they prune the folders that are read.
-        folders = [row.bucket for row in batch.select("bucket").distinct().collect()]
-        pages = pages.filter(F.col("bucket").isin(folders))
+    if counts := layouts(pages):
+        keys = ["buckets", "bucket", "url"]
+        batch = batch.withColumn("buckets", F.explode(F.array(*map(F.lit, counts))))
+        batch = batch.withColumn("bucket", page_bucket(F.col("url"), F.col("buckets")))
+        # No more small numbers than there are folders; they prune those that are read.
+        folders = [f"{r.buckets}/{r.bucket}" for r in batch.select("buckets", "bucket").distinct().collect()]
+        pages = pages.filter(F.concat_ws("/", "buckets", "bucket").isin(folders))
+    if not few and 8 * batch.count() <= HASH_BYTES:
+        hashes = F.broadcast(batch.select(F.xxhash64("url").alias("_hash")).distinct())
+        pages = pages.withColumn("_hash", F.xxhash64("url")).join(hashes, "_hash", "left_semi").drop("_hash")
     if n is not None and n <= LISTED_URLS:
         # So few URLs can be told to the scan, which skips files and row groups sorted by URL.
         pages = pages.filter(F.col("url").isin([row.url for row in batch.select("url").collect()]))
@@ -119,7 +127,6 @@ def crawl_step(
     mode: str = "rfc",
     due_first: bool = False,
     skip_known: bool = False,
-    page_buckets: int | None = None,
 ) -> StepResult:
     """Try one batch of the queue; give the new state and one outcome row per URL tried.
 
@@ -147,7 +154,7 @@ def crawl_step(
         )
     )
     wanted = judged.filter(F.col("refused").isNull()).select("id", "url", "host")
-    bodies = _fetch(wanted, pages, few, n, page_buckets).withColumn("outcome", fetch_outcome())
+    bodies = _fetch(wanted, pages, few, n).withColumn("outcome", fetch_outcome())
     stored = F.col("outcome").isin("html", "other")
     answers = cut_lineage(
         bodies.select("id", "url", "host", "outcome", F.when(stored, hrefs(F.col("body"))).alias("hrefs"))
@@ -175,10 +182,12 @@ def crawl_step(
     fresh = targets
     if skip_known:
         fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"], few_links)
+    all_queue = enqueue(state.queue, fresh, at, few_links, state.last_id())
     return StepResult(
         state,
         {
-            "queue": dequeue(enqueue(state.queue, fresh, at, few_links), done.select("id"), few),
+            "marks": state.with_tables(queue=all_queue).marked().marks,
+            "queue": dequeue(all_queue, done.select("id"), few),
             "domain": update_next_visit(domain, kept.select("host"), at, delay, few),
             "protocols": with_fixed_protocols(state.protocols),
             "url": new_urls(state.url, targets, few_links),
@@ -209,7 +218,7 @@ def crawl(
     """
     spark = state.queue.sparkSession
     directory = directory or run_dir(spark, "crawl")
-    save_version(state.tables(), directory, 0)
+    save_version(state.marked().tables(), directory, 0)
     state = load_version(spark, directory, 0)
     written = []
     for number in range(1, rounds + 1):

@@ -109,10 +109,10 @@ def grown_urls(url: str, targets: str) -> str:
     FROM (SELECT path, domain_id, scheme_id FROM {targets} EXCEPT SELECT path, domain_id, scheme_id FROM {url})"""
 
 
-def grown_queue(queue: str, wanted: str, now: str) -> str:
-    """``wanted`` has columns url and domain_id."""
+def grown_queue(queue: str, wanted: str, now: str, given: str | None = None) -> str:
+    """``wanted`` has columns url and domain_id; ``given`` holds all ids given so far, by default those in the queue."""
     return f"""SELECT id, url, added, domain_id FROM {queue} UNION ALL
-    SELECT (SELECT coalesce(max(id), 0) FROM {queue}) + {rank('url')}, url, {now}, domain_id
+    SELECT (SELECT coalesce(max(id), 0) FROM {given or queue}) + {rank('url')}, url, {now}, domain_id
     FROM (SELECT url, min(domain_id) AS domain_id FROM {wanted}
           WHERE url NOT IN (SELECT url FROM {queue}) GROUP BY url)"""
 
@@ -245,7 +245,10 @@ def step(k: int, skip_known: bool) -> dict[str, str]:
         f"url_{k}": grown_urls(f"url_{p}", f"targets_{k}"),
         f"tried_{k}": f"""SELECT url FROM tried_{p} UNION SELECT url FROM outcome_{k} WHERE outcome <> 'not_due'""",
         f"wanted_{k}": f"SELECT resolved AS url, domain_id FROM targets_{k} {known}",
-        f"all_queue_{k}": grown_queue(f"queue_{p}", f"wanted_{k}", now),
+        f"all_queue_{k}": grown_queue(
+            f"queue_{p}", f"wanted_{k}", now,
+            "(" + " UNION ALL ".join(f"SELECT id FROM all_queue_{j}" for j in range(1, k)) + ")" if k > 1 else None,
+        ),
         f"queue_{k}": f"""SELECT * FROM all_queue_{k}
           WHERE id NOT IN (SELECT id FROM outcome_{k} WHERE outcome <> 'not_due')""",
     }

@@ -44,17 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster the setting is required.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = configured_root(spark)
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
+        return sc.getCheckpointDir()  # the setting cannot be changed any more, but this can be asked for
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+def configured_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one run's tables."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +23,13 @@ STATE_SCHEMAS = {
     "protocols": "id bigint, name string",
     "url": "id bigint, path string, domain_id bigint, scheme_id bigint",
     "tried": "url string",
+    "marks": "name string, last bigint",
 }
 
 
+# Fixed value: what an existing database calls its queue.
+JDBC_NAMES = {"queue": "crawl_queue"}
+
 # Tables that rows are added to and never taken from.
 GROWING = ("url", "tried")
 
@@ -34,16 +39,34 @@ COMPLETES = "protocols"
 
 @dataclass(frozen=True)
 class CrawlState:
-    """The tables a crawl reads and grows.  ``tried`` lists the URLs taken from the queue so far."""
+    """The tables a crawl reads and grows.
+
+    ``tried`` lists the URLs taken from the queue so far.  ``marks`` holds the
+    largest id that was ever given in the queue: rows leave it, and their ids do
+    not come back.  A state without marks starts from what its queue holds.
+    """
 
     queue: DataFrame
     domain: DataFrame
     protocols: DataFrame
     url: DataFrame
     tried: DataFrame
+    marks: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+
+    def last_id(self) -> Column:
+        """The largest id ever given in the queue."""
+        held = self.queue.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+        if self.marks is None:
+            return held
+        return F.greatest(held, F.coalesce(self.marks.filter("name = 'queue'").agg(F.max("last")).scalar(), F.lit(0)))
+
+    def marked(self) -> CrawlState:
+        """The state with its mark as a table."""
+        row = self.protocols.sparkSession.range(1).select(F.lit("queue").alias("name"), self.last_id().alias("last"))
+        return self.with_tables(marks=row)
 
     def with_tables(self, **tables: DataFrame) -> CrawlState:
         return replace(self, **tables)
@@ -65,30 +88,52 @@ def read_pages(spark: SparkSession, directory: str) -> DataFrame:
 def stream_pages(
     spark: SparkSession, directory: str, glob: str = "pages*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Page snapshots as they arrive, a bounded number of files per micro-batch."""
-    reader = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    """Page snapshots as they arrive, a bounded number of files per micro-batch.
+
+    The columns are those of the files that are there when the stream starts, so
+    headers that were stored with the pages are read with them.
+    """
+    try:
+        schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
+    except AnalysisException:  # nothing has arrived yet
+        schema = T.StructType.fromDDL(PAGES_SCHEMA)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return _with_headers(reader.option("pathGlobFilter", glob).parquet(directory))
 
 
 def write_pages(pages: DataFrame, path: str, buckets: int = 1024) -> None:
-    """Snapshots laid out by host bucket, so that a step reads only the buckets of its batch."""
-    laid_out = pages.withColumn("bucket", page_bucket(F.col("url"), buckets))
+    """Snapshots laid out by host bucket, so that a step reads only the buckets of its batch.
+
+    The number of buckets is part of the layout, so no reader has to be told it.
+    """
+    laid_out = pages.withColumns({"buckets": F.lit(buckets), "bucket": page_bucket(F.col("url"), F.lit(buckets))})
     (
         laid_out.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "url")
         .write.mode("errorifexists")
-        .partitionBy("bucket")
+        .partitionBy("buckets", "bucket")
         .parquet(path)
     )
 
 
-def page_bucket(url, buckets: int = 1024):
-    return F.pmod(F.xxhash64(url_host(url)), F.lit(buckets)).cast("int")
+def page_bucket(url, buckets):
+    return F.pmod(F.xxhash64(url_host(url)), buckets).cast("int")
+
+
+def layouts(stored: DataFrame) -> list[int]:
+    """The numbers of buckets that the folders of a stored table were written with; none if it has no such folders.
+
+    They stand in the folders' names, so no row is read.
+    """
+    if not {"buckets", "bucket"} <= set(stored.columns):
+        return []
+    return sorted(row.buckets for row in stored.select("buckets").distinct().collect())
 
 
 def read_robots(spark: SparkSession, directory: str) -> DataFrame:
-    """Robots bodies, one row per host; a host without a row is unrestricted."""
-    return spark.read.parquet(table_path(directory, "robots")).select("host", "body")
+    """Robots bodies by host, with ``fetched_at`` if there; a host without a row is unrestricted."""
+    robots = spark.read.parquet(table_path(directory, "robots"))
+    return robots.select("host", "body", *[c for c in ("fetched_at",) if c in robots.columns])
 
 
 def empty_state(spark: SparkSession) -> CrawlState:
@@ -96,13 +141,17 @@ def empty_state(spark: SparkSession) -> CrawlState:
 
 
 def read_state(spark: SparkSession, directory: str) -> CrawlState:
-    """State tables as written by ``write_state``."""
-    return CrawlState(
-        **{
-            name: spark.read.schema(T.StructType.fromDDL(schema)).parquet(table_path(directory, name))
-            for name, schema in STATE_SCHEMAS.items()
-        }
-    )
+    """State tables as written by ``write_state``; marks may be missing."""
+
+    def read(name: str) -> DataFrame | None:
+        try:
+            return spark.read.schema(T.StructType.fromDDL(STATE_SCHEMAS[name])).parquet(table_path(directory, name))
+        except AnalysisException:
+            if name == "marks":
+                return None
+            raise
+
+    return CrawlState(**{name: read(name) for name in STATE_SCHEMAS})
 
 
 def read_state_jdbc(
@@ -114,10 +163,10 @@ def read_state_jdbc(
 ) -> CrawlState:
     """State tables of an existing database, read in ranges of their ids.
 
-    ``names`` gives table names that differ from ours.  A link table may call its
+    ``names`` gives table names other than ``JDBC_NAMES`` and our own.  A link table may call its
     path ``url``.
     """
-    names = names or {}
+    names = JDBC_NAMES | (names or {})
 
     def read(name: str) -> DataFrame:
         table = names.get(name, name)
@@ -131,7 +180,7 @@ def read_state_jdbc(
             numPartitions=partitions, properties=properties,
         )
 
-    tables = {name: read(name) for name in STATE_SCHEMAS if name != "tried"}
+    tables = {name: read(name) for name in STATE_SCHEMAS if name not in ("tried", "marks")}
     if "path" not in tables["url"].columns:
         tables["url"] = tables["url"].withColumnRenamed("url", "path")
     typed = {
@@ -143,7 +192,7 @@ def read_state_jdbc(
 
 def write_state(state: CrawlState, directory: str) -> CrawlState:
     """Write a whole state to a new directory and read it back."""
-    for name, df in state.tables().items():
+    for name, df in state.marked().tables().items():
         df.write.mode("errorifexists").parquet(table_path(directory, name))
     return read_state(state.queue.sparkSession, directory)
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.dims import FEW_ROWS, fixed_scheme_id, upsert_domain, with_dim_id, with_fixed_protocols
+from spindrift.operators.fetches import fetch_outcome
 from spindrift.operators.frontier import enqueue
 from spindrift.operators.links import page_links
+from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import new_urls
 from spindrift.session import cut_lineage
 from spindrift.sources.tables import CrawlState, latest_version, load_version, save_version
@@ -18,15 +20,28 @@ from spindrift.sources.tables import CrawlState, latest_version, load_version, s
 LINK_KEY = ["scheme", "host", "path"]
 
 
+def followed(pages: DataFrame, rules: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """The pages whose links count: successful answers at URLs that robots rules, if given, do not block."""
+    if "status_line" in pages.columns:
+        body = F.col("body" if "body" in pages.columns else "html")
+        outcome = fetch_outcome(body)
+        pages = pages.filter(outcome.isin("html", "other"))
+    if rules is not None:
+        pages = robots_blocked(pages, rules, agent).filter(~F.col("blocked")).drop("blocked")
+    return pages
+
+
 def stream_links(
-    pages: DataFrame, mode: str = "rfc", seen_at: str | None = None, watermark: str | None = None
+    pages: DataFrame, mode: str = "rfc", seen_at: str | None = None, watermark: str | None = None,
+    rules: DataFrame | None = None, agent: str = "*",
 ) -> DataFrame:
-    """Links not seen before, by scheme, host and path.
+    """Links not seen before, by scheme, host and path, from pages that are ``followed``.
 
     The default remembers every link, as the link table does, and its state
     grows with the distinct links.  With ``seen_at`` (a timestamp column of the
     pages) and ``watermark`` a link is remembered for that long only.
     """
+    pages = followed(pages, rules, agent)
     if watermark is None:
         found = page_links(pages, mode).filter("scheme_supported")
         return found.select(*LINK_KEY).dropDuplicates(LINK_KEY)
@@ -49,10 +64,12 @@ def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str,
     targets = with_dim_id(links, domain, "host", "domain_id", few=few).withColumn(
         "scheme_id", fixed_scheme_id(F.col("scheme"))
     )
+    queue = enqueue(state.queue, targets, at, few, state.last_id())
     return {
         "domain": domain,
         "protocols": with_fixed_protocols(state.protocols),
-        "queue": enqueue(state.queue, targets, at, few),
+        "queue": queue,
+        "marks": state.with_tables(queue=queue).marked().marks,
         "url": new_urls(state.url, targets, few),
     }
 
@@ -73,17 +90,18 @@ def merge_batch(directory: str, now: Callable[[int], datetime]) -> Callable[[Dat
 
 
 def run_merge(
-    pages: DataFrame, state: CrawlState | None, directory: str, now: Callable[[int], datetime]
+    pages: DataFrame, state: CrawlState | None, directory: str, now: Callable[[int], datetime],
+    rules: DataFrame | None = None, agent: str = "*",
 ) -> CrawlState:
-    """Merge the links of all pages available now; gives the last version of the state.
+    """Merge the links of all pages available now that are ``followed``; gives the last version of the state.
 
     Without a ``state`` the run goes on from what is in ``directory``.
     """
     spark = pages.sparkSession
     if state is not None:
-        save_version(state.tables(), directory, 0)
+        save_version(state.marked().tables(), directory, 0)
     query = (
-        page_links(pages)
+        page_links(followed(pages, rules, agent))
         .writeStream.foreachBatch(merge_batch(directory, now))
         .option("checkpointLocation", f"{directory}/progress")
         .trigger(availableNow=True)

@@ -8,23 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.functions.times import from_micros, micros
+
 
 def stream_throttle(
     events: DataFrame, key: str, ts: str, id: str, delay: float, watermark: str = "1 day"
 ) -> DataFrame:
     """Accepted events as ``(key, ts, id)``; events behind the watermark are dropped.
 
+    So are events that come after a later one of their key was accepted, within
+    the watermark or not: what has been accepted stands.
+
     A key's state is the time of its last accepted event.  It is dropped once the
     watermark has passed the end of the rest, as any later event is then accepted.
     One micro-batch of a key is ordered in memory by time and id, and only as far
     as it can still be accepted, so the source's limit per trigger bounds it.
     """
     step = round(delay * 1_000_000)
+    kind = events.schema[ts].dataType
     narrow = (
-        events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id"))
-        .filter(F.col("key").isNotNull() & F.col("ts").isNotNull())
+        events.select(F.col(key).alias("key"), micros(F.col(ts), kind).alias("us"), F.col(id).alias("id"))
+        .filter(F.col("key").isNotNull() & F.col("us").isNotNull())
+        .withColumn("ts", F.timestamp_micros("us"))
         .withWatermark("ts", watermark)
-        .withColumn("us", F.unix_micros("ts"))
     )
     types = {f.name: f.dataType for f in narrow.schema.fields}
     accepted_schema = T.StructType(
@@ -61,5 +67,5 @@ def stream_throttle(
     accepted = narrow.groupBy("key").applyInPandasWithState(
         accept, accepted_schema, "last bigint", "append", "EventTimeTimeout"
     )
-    restored = F.timestamp_micros("us").cast(events.schema[ts].dataType)
+    restored = from_micros(F.col("us"), kind)
     return accepted.select(F.col("key").alias(key), restored.alias(ts), F.col("id").alias(id))

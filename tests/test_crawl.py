@@ -129,7 +129,7 @@ def test_pages_by_bucket_and_newest_copy(spark, tmp_path):
     newer = pages.withColumn("html", F.lit('<a href="/newer">')).withColumn("fetched_at", F.lit(T0 + timedelta(days=1)).cast("timestamp_ntz"))
     tables.write_pages(pages.unionByName(newer), str(tmp_path / "pages"), buckets=8)
     laid_out = spark.read.parquet(str(tmp_path / "pages"))
-    step = crawl_step(start(spark), laid_out, no_rules(spark), T0, page_buckets=8)
+    step = crawl_step(start(spark), laid_out, no_rules(spark), T0)
     assert [(r.url, r.outcome) for r in step.outcomes.collect()] == [(A1, "html")]
     assert [r.url for r in step.state.queue.collect()] == ["http://a.example/newer"]
 

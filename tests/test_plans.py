@@ -55,7 +55,7 @@ def test_stored_index_is_read_by_bucket(spark, tmp_path):
     search.write_index(search.postings(documents), str(tmp_path / "index"), 8)
     stored = spark.read.parquet(str(tmp_path / "index"))
     fresh = search.search(search.postings(documents), n_docs, ["a", "B"], 2)
-    kept = search.search(stored, n_docs, ["a", "B"], 2, 8)
+    kept = search.search(stored, n_docs, ["a", "B"], 2)
     assert fresh.collect() == kept.collect()
     assert [r.doc_id for r in fresh.collect()] == [1, 2]
 
@@ -67,7 +67,7 @@ def test_pages_are_read_by_bucket(spark, tmp_path):
     tables.write_pages(tables.read_pages(spark, DIRECTORY), str(tmp_path / "pages"), 16)
     pages = spark.read.parquet(str(tmp_path / "pages"))
     batch = pages.orderBy("url").limit(1).select(F.lit(1).alias("id"), "url", F.lit("h").alias("host"))
-    fetched = _fetch(batch, pages, True, 1, 16)
+    fetched = _fetch(batch, pages, True, 1)
     assert fetched.count() == 1
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(url,http", plan(fetched))
     assert re.search(r"PartitionFilters: \[[^\]]*\(bucket#\d+ = \d+\)", plan(fetched))
