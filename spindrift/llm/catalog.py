@@ -11,6 +11,7 @@ from spindrift.llm.common import table
 from spindrift.llm.fmindex import contamination
 from spindrift.llm.hmm import score_documents
 from spindrift.llm.langid import language_report
+from spindrift.llm.oracle import ORACLE
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.quality import quality_report
 from spindrift.llm.repeats import repeat_report
@@ -19,8 +20,9 @@ from spindrift.llm.simhash import duplicates_report
 from spindrift.llm.vptree import neighbours
 from spindrift.llm.warc import archived_pages
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
