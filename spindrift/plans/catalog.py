@@ -414,6 +414,16 @@ def crawl_step_content(spark, directory):
     return fetches.content_store(step_of(spark, directory).fetched)
 
 
+@query
+def stored_pages_step(spark, directory):
+    """A step over pages that were laid out by bucket and read back."""
+    path = run_dir(spark, "pages")
+    tables.write_pages(mixed_fetches(spark, directory), path, buckets=32)
+    state, _ = derived.derived_state(spark, directory)
+    stored = spark.read.parquet(path)
+    return crawl_step(state, stored, rules_of(spark, directory), derived.BASE, n=None).outcomes
+
+
 @query
 def crawl_rounds(spark, directory):
     """Outcomes of three rounds that never try a URL twice."""
@@ -444,6 +454,30 @@ def stream_links_query(spark, directory):
     return run_available(stream_links(arriving), "stream-links")
 
 
+def arriving_fetches(spark: SparkSession, directory: str) -> DataFrame:
+    """Fetches with their headers, written as files and read as a stream."""
+    path = run_dir(spark, "fetches")
+    found = fetches_of(spark, directory).withColumnRenamed("body", "html")
+    found.withColumn("page_id", F.xxhash64("url")).write.parquet(path)
+    return tables.stream_pages(spark, path, "*.parquet")
+
+
+@query
+def stream_links_answered(spark, directory):
+    """Links of successful fetches that robots rules allow."""
+    arriving = arriving_fetches(spark, directory)
+    return run_available(stream_links(arriving, rules=rules_of(spark, directory)), "stream-answered")
+
+
+@query
+def stream_merge_answered(spark, directory):
+    """The queue after merging those links."""
+    return run_merge(
+        arriving_fetches(spark, directory), https_state(spark, directory), run_dir(spark, "merge-answered"),
+        lambda batch: derived.BASE + timedelta(seconds=15 * batch), rules_of(spark, directory),
+    ).queue
+
+
 def merged_state(spark: SparkSession, directory: str) -> tables.CrawlState:
     arriving = tables.stream_pages(spark, directory, "pages.parquet")
     return run_merge(
@@ -512,3 +546,13 @@ def search_query(spark, directory):
     documents = table(spark, directory, "documents")
     n_docs = documents.agg(F.count("*").alias("n"))
     return search.search(search.postings(documents), n_docs, SEARCH_TERMS)
+
+
+@query
+def stored_search(spark, directory):
+    """The same search in an index that was written by bucket and read back."""
+    documents = table(spark, directory, "documents")
+    path = run_dir(spark, "index")
+    search.write_index(search.postings(documents), path, buckets=32)
+    n_docs = documents.agg(F.count("*").alias("n"))
+    return search.search(spark.read.parquet(path), n_docs, SEARCH_TERMS)

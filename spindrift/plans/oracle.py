@@ -472,3 +472,19 @@ ORACLE = {
         GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
     ),
 }
+
+ORACLE["stored_pages_step"] = ORACLE["crawl_step_outcomes"]
+ORACLE["stored_search"] = ORACLE["search"]
+
+# Links of pages that answered and are not blocked.
+ANSWERED = f"""(SELECT l.* FROM plain_links l JOIN fetches f ON f.url = l.url
+  WHERE {outcome('f.status_line', 'f.content_type', 'f.body')} IN ('html', 'other') AND l.page_id NOT IN ({verdicts('page_targets', 'page_id', '*')}))"""
+ORACLE["stream_links_answered"] = sql(f"SELECT DISTINCT scheme, host, path FROM {ANSWERED}")
+ORACLE["stream_merge_answered"] = sql(
+    grown_queue(
+        "s_queue",
+        f"""(SELECT resolved AS url, d.id AS domain_id FROM {ANSWERED}
+          JOIN ({grown_domains('s_domain', ANSWERED, BASE)}) d ON d.name = host)""",
+        BASE,
+    )
+)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry_points
 
@@ -17,9 +20,36 @@ def connect(directory: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def differences(spark, con, directory: str, name: str) -> tuple[int, list]:
-    """Number of rows of the query, and what differs."""
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@contextmanager
+def plans_cut():
+    """The plans of all that is checkpointed or written as Parquet meanwhile, streams' batches included."""
+    found: list[str] = []
+    checkpoint, parquet = DataFrame.checkpoint, DataFrameWriter.parquet
+
+    def cut(self, *args, **kwargs):
+        found.append(plan(self))
+        return checkpoint(self, *args, **kwargs)
+
+    def write(self, *args, **kwargs):
+        found.append(plan(self._df))
+        return parquet(self, *args, **kwargs)
+
+    DataFrame.checkpoint, DataFrameWriter.parquet = cut, write
+    try:
+        yield found
+    finally:
+        DataFrame.checkpoint, DataFrameWriter.parquet = checkpoint, parquet
+
+
+def differences(spark, con, directory: str, name: str, plans: list[str] | None = None) -> tuple[int, list]:
+    """Number of rows of the query, and what differs; ``plans`` gets the plan of its result."""
     df = entry_points.queries()[name](spark, directory)
+    if plans is not None:
+        plans.append(plan(df))
     columns = sorted(df.columns)
     got = Counter(tuple(row) for row in df.select(*columns).collect())
     text = entry_points.oracle_sql().get(name)
