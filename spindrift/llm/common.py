@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -54,6 +58,32 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def tidy(run: Callable) -> Callable:
+    """The same function over batches or a group; its worker process, which goes on to other tasks, gives memory back."""
+
+    @functools.wraps(run)
+    def wrapped(given):
+        out = run(given)
+        if isinstance(out, Iterator):
+            return drained(out)
+        release()
+        return out
+
+    return wrapped
+
+
+def drained(batches: Iterator) -> Iterator:
+    yield from batches
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null as no bytes."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, sliced, utf8, written
+from spindrift.llm.common import batch_of, sliced, tidy, utf8, written
 
 WINDOW = 10
 SAMPLE = 16
@@ -216,25 +216,33 @@ def shard_hits(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[int
     return out
 
 
+def found_hits(batch: pa.RecordBatch, phrases: Phrases) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """A batch cut into shards, and the hits in each, with those of earlier blocks of items."""
+    names = batch.schema.names
+    texts = batch.column("text") if "text" in names else batch.column("row").field("text")
+    for shard in sliced(iter([batch.append_column("_text", texts)]), "_text", SHARD_BYTES):
+        found = shard_hits(utf8(shard.column("_text")), phrases)
+        if "hits" in names:
+            found = [merged(x, y) for x, y in zip(shard.column("hits").to_pylist(), found)]
+        yield shard.select(names), found
+
+
 def hit_pass(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    """Add ``hits`` of one block of items to rows that have ``text`` and the hits so far."""
+    """Add ``hits`` of one block of items to rows that have ``text``, or a ``row`` with it, and the hits so far."""
     shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
     kind = "struct<n_words: bigint, starts: array<int>, ends: array<int>, items: array<string>>"
     names = [c for c in docs.columns if c != "hits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
-        for batch in sliced(batches, "text", SHARD_BYTES):
-            found = shard_hits(utf8(batch.column("text")), phrases)
-            if "hits" in batch.schema.names:
-                found = [merged(x, y) for x, y in zip(batch.column("hits").to_pylist(), found)]
-            hits = pa.StructArray.from_arrays(
-                [pa.array([x[i] for x in found], f.type) for i, f in enumerate(HITS)], fields=list(HITS)
-            )
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hits], [*names, "hits"])
+        for batch in batches:
+            for rows, found in found_hits(batch, shared.value):
+                hits = pa.StructArray.from_arrays(
+                    [pa.array([x[i] for x in found], f.type) for i, f in enumerate(HITS)], fields=list(HITS)
+                )
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), hits], [*names, "hits"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "hits")
-    return docs.mapInArrow(run, f"{fields}, hits {kind}")
+    return docs.mapInArrow(tidy(run), f"{fields}, hits {kind}")
 
 
 def merged(old: dict, new: tuple) -> tuple:
@@ -249,19 +257,24 @@ def merged(old: dict, new: tuple) -> tuple:
     return n, [a for a, _ in spans], [b for _, b in spans], sorted({*old["items"], *items})
 
 
-def with_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """Add ``hits``, to rows without such a column: number of words, spans of words that benchmark windows cover, and the items they belong to."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items of the benchmark, about ``block_bytes`` of text at a time; at least one block."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
-        own = [(r.item_id, r.text.encode()) for r in numbered.filter(F.col("block") == block).collect()]
-        docs = hit_pass(docs, own, window)
-        if block + 1 < blocks:
-            docs = written(docs, "hits")
+        yield [(r.item_id, r.text.encode()) for r in numbered.filter(F.col("block") == block).collect()]
+
+
+def with_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Add ``hits``, to rows without such a column: number of words, spans of words that benchmark windows cover, and the items they belong to."""
+    done = False
+    for items in item_blocks(benchmark, block_bytes):
+        docs = hit_pass(written(docs, "hits") if done else docs, items, window)
+        done = True
     return docs
 
 
@@ -291,23 +304,26 @@ def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The rows with benchmark passages cut out of their texts; columns as they were, ``n_chars`` following the text."""
     schema = docs.schema
     names = schema.names
+    marked = docs.select(F.struct(*names).alias("row"))
+    *earlier, last = item_blocks(benchmark, block_bytes)
+    for items in earlier:
+        marked = written(hit_pass(marked, items, window), "hits")
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases(last, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("row").flatten()
-            old = rows[names.index("text")]
-            texts = [
-                cut_words(t, h["starts"], h["ends"]) if h["starts"] else t
-                for t, h in zip(old.to_pylist(), batch.column("hits").to_pylist())
-            ]
-            rows[names.index("text")] = pa.array(texts, old.type)
-            yield pa.RecordBatch.from_arrays(rows, names)
-
-    marked = docs.select(F.struct(*names).alias("row"), "text")
-    cut = with_hits(marked, benchmark, window).select("row", "hits").mapInArrow(run, schema)
+            for rows, found in found_hits(batch, shared.value):
+                columns = rows.column("row").flatten()
+                old = columns[names.index("text")]
+                texts = [cut_words(t, s, e) if s else t for t, (_, s, e, _) in zip(old.to_pylist(), found)]
+                columns[names.index("text")] = pa.array(texts, old.type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    cut = marked.mapInArrow(tidy(run), schema)
     return cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else cut
-

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, crc_mod, utf8, written
+from spindrift.llm.common import batch_of, crc_mod, tidy, utf8, written
 
 CHUNK_TOKENS = 1 << 20
 CLASSES = 4096
@@ -95,7 +95,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         if now.held:
             yield now.row(first + done)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "train").mapInArrow(run, CHUNK_SQL)
+    return docs.select(F.col("doc_id").cast("long"), "text", "train").mapInArrow(tidy(run), CHUNK_SQL)
 
 
 def corpus_counts(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def corpus_counts(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.table({"chunk": rows.column("chunk")[:1], "found": pa.array([found.tobytes()], pa.binary())})
 
     narrow = counted.select("chunk", "place", "count")
-    return narrow.groupBy("chunk").applyInArrow(in_place, "chunk long, found binary"), sums
+    return narrow.groupBy("chunk").applyInArrow(tidy(in_place), "chunk long, found binary"), sums
 
 
 @dataclass
@@ -239,7 +239,7 @@ def train(stored: DataFrame, tokens: np.ndarray, states: int = STATES, rounds: i
                 some = np.flatnonzero(total)
                 yield batch_of(out, some.astype(np.int32), total[some])
 
-        sums = stored.select(*columns).mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
+        sums = stored.select(*columns).mapInArrow(tidy(run), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
         full = np.zeros(states + states * states + model.emit.size)
         for slot, value in sums.collect():  # as many rows as the model has parameters
             full[slot] = value
@@ -298,4 +298,4 @@ def score_documents(
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     joined = stored.select("chunk", "doc_ids", "train", "sizes", "tokens", "classes").join(written(found, "counts"), "chunk")
-    return joined.drop("chunk").mapInArrow(run, schema)
+    return joined.drop("chunk").mapInArrow(tidy(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, crc_mod
+from spindrift.llm.common import batch_of, crc_mod, tidy
 
 BITS = 15
 LONGEST = 4
@@ -112,7 +112,7 @@ def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndar
         for batch in batches:
             yield batch_of(schema, batch.column("lang"), [presence(t).tobytes() for t in batch.column("text").to_pylist()])
 
-    drawn = docs.filter(draw < most).select("lang", "text").mapInArrow(run, "lang string, there binary")
+    drawn = docs.filter(draw < most).select("lang", "text").mapInArrow(tidy(run), "lang string, there binary")
     rows = [(r.lang, np.frombuffer(r.there, np.int64)) for r in drawn.collect()]
     return sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tolist()))
 
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = SAMPLE_
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, sliced, written
+from spindrift.llm.common import batch_of, sliced, tidy, written
 
 MAX_TOKENS = 1024
 EOS = 2
@@ -41,8 +41,8 @@ NODE_LIMIT = 2_000
 BRANCHES = 4
 FILL_STEPS = 20_000
 RANK_BUCKETS = 256
-CACHE = 300_000
-PART_CACHE = 700_000
+CACHE = 150_000
+PART_CACHE = 250_000
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -152,7 +152,7 @@ _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
 def cached_tokenizer(path: str) -> CachedTokenizer:
-    """One for each worker process, kept from task to task."""
+    """One for each worker process, for as long as a task lasts."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _TOKENIZERS[path] = CachedTokenizer(path)
@@ -180,9 +180,10 @@ def token_pieces(
                     ids.append(np.frombuffer(own, "<u4").astype(np.int32) if with_ids else None)
                     at, to = to, to + max_tokens
             yield batch_of(PIECES, doc, piece, start, length, crc, ids)
+        _TOKENIZERS.clear()  # the process goes on to other work, which needs the memory
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), schema)
     return made if with_ids else made.drop("ids")
 
 

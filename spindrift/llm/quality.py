@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, crc_mod, utf8
+from spindrift.llm.common import batch_of, crc_mod, tidy, utf8
 
 SAMPLE = 2_000
 RANK = 64
@@ -132,7 +132,7 @@ def voters(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, n
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(small), "doc_id")
     rows = (
-        own.mapInArrow(run, "doc_id long, label double, place binary, weight binary")
+        own.mapInArrow(tidy(run), "doc_id long, label double, place binary, weight binary")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     )
     weights = np.zeros((len(rows), TERMS), np.float32)
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, most: int
                 yield pa.RecordBatch.from_arrays([*own.columns, score], [*own.schema.names, "score"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def training_fold(rows: DataFrame) -> DataFrame:
@@ -170,6 +170,12 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are not rejected, with their columns."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    good = scored(marked, training_fold(docs), training_fold(labels)).filter(F.col("score") >= threshold)
-    return good.select("row.*")
+    model = docs.sparkSession.sparkContext.broadcast(fit(*voters(training_fold(docs), training_fold(labels), SAMPLE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                own = batch.slice(at, BLOCK)
+                yield own.filter(pa.array(model.value.score(utf8(own.column("text"))) >= threshold))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

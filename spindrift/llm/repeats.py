@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, identified, sliced, utf8, written
+from spindrift.llm.common import batch_of, identified, sliced, tidy, utf8, written
 
 LENGTH = 100
 GRAM = 32
-PIECE = 1 << 21
+PIECE = 1 << 20
 SHARD_SYMBOLS = 1 << 20
 HOT_SEGMENTS = 4096
 # An odd multiplier, its inverse modulo 2 ** 64, and odd mixing multipliers.
@@ -155,9 +155,10 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 own = np.array(rows)[part]
                 start = first - (ends - sizes)[part] + np.array(offsets)[part]
                 yield batch_of(SEGMENTS, doc[own], tie[own], start, n.astype(np.int32), anchor, text)
+        _POWERS.clear()
 
     schema = "doc long, tie long, start long, n int, anchor long, text_hash long"
-    return docs.select("doc", "tie", "text").mapInArrow(run, schema)
+    return docs.select("doc", "tie", "text").mapInArrow(tidy(run), schema)
 
 
 # One shard.
@@ -311,7 +312,7 @@ def contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield batch_of(schema, *out)
 
     joined = docs.select("doc", "tie", "text").join(written(lists, "wanted-segments"), ["doc", "tie"])
-    return joined.mapInArrow(run, "shard int, doc long, tie long, start long, content binary")
+    return joined.mapInArrow(tidy(run), "shard int, doc long, tie long, start long, content binary")
 
 
 def repeat_spans(
@@ -340,7 +341,7 @@ def repeat_spans(
     shard = F.when(F.col("count") <= hot_segments, F.pmod("anchor", F.lit(shards))).otherwise(-1).cast("int")
     held = written(contents(docs, first.withColumn("shard", shard), length), "segment-contents")
     within = held.filter("shard >= 0").groupBy("shard").applyInArrow(
-        lambda shard: shard_spans(shard, length), "doc long, tie long, start long, end long"
+        tidy(lambda shard: shard_spans(shard, length)), "doc long, tie long, start long, end long"
     )
     strings = held.filter("shard < 0")
     earliest = written(
@@ -378,7 +379,7 @@ def with_spans(docs: DataFrame, length: int, gram: int, **limits: int) -> DataFr
             ]
             yield batch_of(schema, batch.column("doc"), batch.column("tie"), [a for a, _ in both], [b for _, b in both])
 
-    narrow = written(lists.mapInArrow(run, "doc long, tie long, starts array<long>, ends array<long>"), "repeat-spans")
+    narrow = written(lists.mapInArrow(tidy(run), "doc long, tie long, starts array<long>, ends array<long>"), "repeat-spans")
     return known.join(narrow, ["doc", "tie"], "left")
 
 
@@ -406,7 +407,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **lim
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = with_spans(rows, length, gram, **limits).select("doc_id", "text", "starts", "ends")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(text: str, starts: list[int], ends: list[int]) -> str:
@@ -439,5 +440,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **limit
             yield pa.RecordBatch.from_arrays(rows, names)
 
     marked = docs.select("doc_id", "text", F.struct(*names).alias("row"))
-    cut = with_spans(marked, length, gram, **limits).select("row", "starts", "ends").mapInArrow(run, schema)
+    cut = with_spans(marked, length, gram, **limits).select("row", "starts", "ends").mapInArrow(tidy(run), schema)
     return cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else cut

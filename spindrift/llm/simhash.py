@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, identified, utf8, written
+from spindrift.llm.common import batch_of, identified, tidy, utf8, written
 from spindrift.llm.components import components
 
 SEED = 42
@@ -157,7 +157,7 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
                 )
                 yield batch_of(schema, batch.column("doc_id").slice(at, len(own)), flat)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, code array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, code array<long>")
 
 
 def segment_values(codes: np.ndarray, plan: Plan, segment: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def table_rows(codes: DataFrame, plan: Plan) -> DataFrame:
                     key = (own.astype(np.int64) * plan.segments + segment) * (plan.radius + 1) + part
                     yield batch_of(schema, key, batch.column("node"), batch.column("code"))
 
-    return codes.select("node", "code").mapInArrow(run, "key long, node long, code array<long>")
+    return codes.select("node", "code").mapInArrow(tidy(run), "key long, node long, code array<long>")
 
 
 def dealt(rows: DataFrame, split_rows: int) -> DataFrame:
@@ -313,7 +313,7 @@ def links(codes: DataFrame, plan: Plan, split_rows: int = SPLIT_ROWS) -> DataFra
             yield group_links(held)
 
     grouped = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return grouped.mapInArrow(run, "a long, b long")
+    return grouped.mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, plan: Plan) -> DataFrame:
@@ -329,7 +329,7 @@ def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, plan: Plan) ->
             yield batch_of(schema, batch.column("node"), own)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
-    of = written(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
+    of = written(texts.mapInArrow(tidy(sets), "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
     both = edges.join(of.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
         of.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"
     )
@@ -345,7 +345,7 @@ def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, plan: Plan) ->
             kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
             yield batch_of(out, kept.column("a"), kept.column("b"))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT, split_rows: int = SPLIT_ROWS) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, written
+from spindrift.llm.common import batch_of, tidy, written
 
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 512
@@ -164,7 +164,7 @@ def packed(frame: DataFrame, keys: list[str], pack, name: str) -> DataFrame:
         fixed = {k: pa.array([group.column(k)[0].as_py()], pa.int32()) for k in keys}
         return pa.table(fixed | {name: pa.array([pack(ids, vectors)], pa.binary())})
 
-    return frame.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + f", {name} binary")
+    return frame.groupBy(*keys).applyInArrow(tidy(run), ", ".join(f"{k} int" for k in keys) + f", {name} binary")
 
 
 def neighbours(
@@ -202,7 +202,7 @@ def neighbours(
                 number = block.as_py() * (1 << 32) + row
                 yield batch_of(out, ids[row], number, search.found[row, rank], search.score[row, rank])
 
-    found = pairs.mapInArrow(run, "query_id long, query_row long, vec_id long, score double")
+    found = pairs.mapInArrow(tidy(run), "query_id long, query_row long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

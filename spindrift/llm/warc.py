@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, written
+from spindrift.llm.common import batch_of, tidy, written
 from spindrift.session import run_dir
 
 RECORDS_PER_FILE = 2_000
@@ -110,7 +110,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, per_file: int = REC
             yield batch_of(schema, out)
 
     columns = [F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")]
-    as_lines(pages.select(*columns).mapInArrow(records, "record binary"), path, "\n", per_file)
+    as_lines(pages.select(*columns).mapInArrow(tidy(records), "record binary"), path, "\n", per_file)
 
 
 class Archive:
@@ -211,7 +211,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 yield batch_of(ARC_RECORDS, *(zip(*rows) if rows else [[]] * 5))
 
     schema = "file string, position long, page_id long, payload_bytes long, payload_digest string"
-    return archive_files(spark, path).mapInArrow(parse, schema)
+    return archive_files(spark, path).mapInArrow(tidy(parse), schema)
 
 
 def record_id(file: str, position: int) -> str:
@@ -285,7 +285,7 @@ def convert(
                         out, size = [], 0
         yield batch_of(schema, out)
 
-    as_lines(files.mapInArrow(synthesise, "record binary"), warc_path, WARC_END, per_file)
+    as_lines(files.mapInArrow(tidy(synthesise), "record binary"), warc_path, WARC_END, per_file)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -329,7 +329,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, "
         "refers_to_id string, target_uri string, date string"
     )
-    return archive_files(spark, path).mapInArrow(parse, schema)
+    return archive_files(spark, path).mapInArrow(tidy(parse), schema)
 
 
 def archived_pages(pages: DataFrame, version: int = 1, min_bytes: int = 0) -> DataFrame:

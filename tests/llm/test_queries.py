@@ -208,6 +208,8 @@ def test_contamination(spark, hostile, nothing):
     assert rows_of(contamination(nothing, items)) == [] and not any(r.contaminated for r in contamination(hostile, items.filter("false")).collect())
     cut = decontaminate(hostile, items, 3)
     assert cut.columns == hostile.columns and cut.count() == hostile.count()
+    pieces = decontaminate(hostile, items, 3, block_bytes=20)
+    assert Counter(r.text for r in pieces.collect()) == Counter(r.text for r in cut.collect())
     assert not any(r.contaminated for r in contamination(cut.filter("doc_id = 0 or doc_id = 7"), items, 3).collect())
 
 
