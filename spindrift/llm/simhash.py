@@ -40,7 +40,7 @@ from spindrift.llm.components import components
 
 SEED = 42
 COUNTED = 1 << 17
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 GROUP_ROWS = 1 << 17
 SPLIT_ROWS = 50_000
 # Odd multipliers of a splitting generator; fixed values.
