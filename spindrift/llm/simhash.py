@@ -12,8 +12,8 @@ and enumerates the balls over the other parts.  Equal fingerprints are one row
 beforehand.  A part's value shared by more than ``split_rows`` fingerprints is
 dealt out in pairs of blocks.  A task returns of the links that it has
 verified those that join up the same fingerprints, nearest first, never all
-pairs; ``components`` joins the links of all tasks.  A plan with a similarity
-keeps those whose shingle sets are that similar.
+pairs; ``components`` joins the links of all tasks.  Links by similarity of
+shingle sets use no fingerprints: ``setjoin`` has them.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; texts with fewer words than a shingle are
@@ -25,7 +25,6 @@ are read of the input, so other columns cannot clash.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -35,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import setjoin
 from spindrift.llm.common import batch_of, identified, tidy, utf8, written
 from spindrift.llm.components import components
+from spindrift.llm.setjoin import shingle_hashes
 
-SEED = 42
 COUNTED = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 GROUP_ROWS = 1 << 17
@@ -49,17 +49,13 @@ MIX_A, MIX_B, MIX_STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7
 
 @dataclass(frozen=True)
 class Plan:
-    """What is linked: fingerprints of ``64 * words`` bits that differ in at most ``distance``.
-
-    With a ``similarity``, a link also needs shingle sets of at least that Jaccard similarity.
-    """
+    """What is linked: fingerprints of ``64 * words`` bits that differ in at most ``distance``."""
 
     shingle: int
     words: int
     segments: int
     radius: int
     distance: int
-    similarity: float | None = None
 
     @property
     def length(self) -> int:
@@ -82,32 +78,16 @@ class Plan:
 EXACT = Plan(shingle=3, words=1, segments=2, radius=1, distance=3)
 
 
-def similar(similarity: float, shingle: int = 5, words: int = 5, segments: int = 16) -> Plan:
-    """Links of shingle sets with at least this Jaccard similarity.
-
-    Their fingerprints are expected to differ in a share of bits that follows from the cosine; two standard
-    deviations more let all but a few pairs at the very limit pass on to the comparison of the sets.
-    """
-    cosine = 2 * similarity / (1 + similarity)
-    share = math.acos(cosine) / math.pi
-    bits = 64 * words
-    distance = round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    return Plan(shingle, words, segments, 1, distance, similarity)
+@dataclass(frozen=True)
+class Similar:
+    """Links of sets of distinct shingles with at least this Jaccard similarity, every one of them."""
 
+    similarity: float
+    shingle: int
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """XXH64 of each run of ``shingle`` words joined by a space; of all words if they are fewer."""
-    from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+def similar(similarity: float, shingle: int = 5) -> Similar:
+    return Similar(similarity, shingle)
 
 
 def mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -316,49 +296,22 @@ def links(codes: DataFrame, plan: Plan, split_rows: int = SPLIT_ROWS) -> DataFra
     return grouped.mapInArrow(tidy(run), "a long, b long")
 
 
-def verified(edges: DataFrame, docs: DataFrame, codes: DataFrame, plan: Plan) -> DataFrame:
-    """The edges whose shingle sets are similar enough; equal fingerprints stand for one document of theirs."""
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = codes.join(ends, "node").select("node", F.col("first").alias("doc_id"))
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+def near_duplicates(docs: DataFrame, plan: Plan | Similar = EXACT, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(doc_id, code, component_id): the smallest doc_id that links lead to.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(shingle_hashes(t, plan.shingle)).tobytes() for t in utf8(batch.column("text"))]
-            yield batch_of(schema, batch.column("node"), own)
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text")
-    of = written(texts.mapInArrow(tidy(sets), "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
-    both = edges.join(of.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
-        of.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"
-    )
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= plan.similarity * max(1, len(x) + len(y) - shared) or not len(x) + len(y))
-            kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-            yield batch_of(out, kept.column("a"), kept.column("b"))
-
-    return both.mapInArrow(tidy(compare), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, plan: Plan = EXACT, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(doc_id, code, component_id): the smallest doc_id that links lead to."""
-    marked = fingerprints(docs, plan)
-    node = F.element_at("code", 1) if plan.words == 1 else F.xxhash64("code")
-    marked = written(marked.withColumn("node", node), "fingerprints")
+    The code of a plan with a similarity is a digest of the shingle set.
+    """
+    if isinstance(plan, Similar):
+        held = setjoin.chunks(docs, plan.shingle)
+        marked = setjoin.digests(held).withColumn("code", F.array("node"))
+    else:
+        marked = fingerprints(docs, plan)
+        node = F.element_at("code", 1) if plan.words == 1 else F.xxhash64("code")
+        marked = written(marked.withColumn("node", node), "fingerprints")
     codes = written(
         marked.groupBy("node", "code").agg(F.min("doc_id").alias("first")), "codes"
     )
-    edges = links(codes, plan, split_rows)
-    if plan.similarity is not None:
-        edges = verified(edges, docs, codes, plan)
+    edges = setjoin.links(held, plan) if isinstance(plan, Similar) else links(codes, plan, split_rows)
     linked = written(components(edges), "components")
     named = codes.select("node", "first").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -374,7 +327,7 @@ def duplicates_report(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, plan: Plan) -> DataFrame:
+def one_of_each(docs: DataFrame, plan: Plan | Similar) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near duplicates: that with the smallest doc_id.
 
     Of rows that share a doc_id or have none, which are different documents, the first read stays.

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import components, hmm, packing, quality, repeats, shards, simhash, vptree
+from spindrift.llm import components, hmm, packing, quality, repeats, setjoin, shards, simhash, vptree
 from spindrift.llm.catalog import QUERIES
 from spindrift.llm.common import identified, table
 from spindrift.llm.fmindex import contamination, decontaminate, with_hits
@@ -313,6 +313,35 @@ def test_one_of_each_group_stays(spark, hostile):
     assert kept == {ids[i] for i in set(label.tolist())}
 
 
+def named(prefix, n):
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("block_bytes", [setjoin.BLOCK_BYTES, 2_000])
+def test_every_similar_pair_is_linked(spark, block_bytes):
+    """Near copies of each other at all degrees of similarity about the limit; what links must not depend on the blocks."""
+    rng = random.Random(12)
+    texts = []
+    for family in range(12):
+        words = named(f"f{family}w", rng.choice([20, 60, 150]))
+        for _ in range(25):
+            own = list(words)
+            for _ in range(rng.randint(0, len(own) // 25 + 1)):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    held = setjoin.chunks(docs, 5)
+    got = components.components(setjoin.links(held, simhash.similar(0.8), block_bytes)).collect()
+    sets = {setjoin.digest(s): set(s.tolist()) for s in (setjoin.shingle_set(t.encode(), 5) for t in texts)}
+    nodes = sorted(sets)
+    label = linked(nodes, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = defaultdict(list)
+    for node, at in zip(nodes, label.tolist()):
+        groups[at].append(node)
+    assert len({len(g) for g in groups.values()}) > 2
+    assert {r.node: r.component for r in got} == {n: min(g) for g in groups.values() if len(g) > 1 for n in g}
+
+
 def test_identified_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "c")], "doc_id long, text string")
     assert len({(r.doc, r.tie) for r in identified(df).collect()}) == 4
