@@ -313,6 +313,11 @@ def test_one_of_each_group_stays(spark, hostile):
     assert kept == {ids[i] for i in set(label.tolist())}
 
 
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in simhash.one_of_each(docs, simhash.similar(0.8)).collect()}
+
+
 def named(prefix, n):
     return [f"{prefix}{i}" for i in range(n)]
 
@@ -342,6 +347,12 @@ def test_every_similar_pair_is_linked(spark, block_bytes):
     assert {r.node: r.component for r in got} == {n: min(g) for g in groups.values() if len(g) > 1 for n in g}
 
 
+def test_a_common_line_is_no_duplicate(spark):
+    line = " ".join(named("line", 7))
+    texts = [" ".join(named(body, 300)) + f" {line}" * 100 for body in "ab"]
+    assert kept_of(spark, texts) == {0, 1}
+
+
 def test_identified_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "c")], "doc_id long, text string")
     assert len({(r.doc, r.tie) for r in identified(df).collect()}) == 4
