@@ -353,6 +353,11 @@ def test_a_common_line_is_no_duplicate(spark):
     assert kept_of(spark, texts) == {0, 1}
 
 
+def test_a_repeated_line_does_not_hide_a_duplicate(spark):
+    body, line = " ".join(named("w", 300)), " ".join(named("line", 7))
+    assert kept_of(spark, [f"{body} {line}", body + f" {line}" * 60]) == {0}
+
+
 def test_identified_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "c")], "doc_id long, text string")
     assert len({(r.doc, r.tie) for r in identified(df).collect()}) == 4
