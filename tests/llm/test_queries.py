@@ -358,6 +358,15 @@ def test_a_repeated_line_does_not_hide_a_duplicate(spark):
     assert kept_of(spark, [f"{body} {line}", body + f" {line}" * 60]) == {0}
 
 
+def test_pairs_at_the_limit_meet(spark):
+    """Each pair has 90 of 112 shingles in common, which is just above the limit."""
+    texts = []
+    for pair in range(150):
+        words = named(f"p{pair}w", 105)
+        texts += [" ".join(words), " ".join(words[:94] + named(f"q{pair}w", 11))]
+    assert kept_of(spark, texts) == set(range(0, 300, 2))
+
+
 def test_identified_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "c")], "doc_id long, text string")
     assert len({(r.doc, r.tie) for r in identified(df).collect()}) == 4
