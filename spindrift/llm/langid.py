@@ -6,6 +6,9 @@ holds.  A bounded sample of labelled rows trains it: some of them are Nyström
 landmarks, and kernel ridge regression on the landmark features learns one
 language against the rest at a time.
 
+N-grams are held exactly, and those that no landmark holds do not count: a very
+long text holds more and more of these whatever its language.
+
 A text's kernel values with all landmarks are one product of its presence row
 with the landmarks' presence matrix, and its scores are a product of those with
 the regression weights; the two matrices are multiplied once, so that scoring a
@@ -30,37 +33,50 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import batch_of, crc_mod, tidy
 
-BITS = 15
 LONGEST = 4
+PIECE = 1 << 20
 SAMPLE_PER_LANGUAGE = 500
 LANDMARKS = 300
 RIDGE = 1e-2
 SHARPNESS = 5.0
-SPREAD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier; fixed value
 
 
 def presence(text: str) -> np.ndarray:
-    """Numbers of the hashed n-grams that the lower-cased text holds."""
+    """The n-grams that the lower-cased text holds, as numbers in order: the length and the bytes."""
     data = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint64)
-    there = np.zeros(1 << BITS, bool)
-    code = np.zeros(len(data), np.uint64)
-    for n in range(1, min(LONGEST, len(data)) + 1):
-        code = (code[: len(data) - n + 1] << np.uint64(8)) | data[n - 1 :]
-        there[((code + np.uint64(n << 40)) * SPREAD) >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(there)
+    there = np.empty(0, np.int64)
+    for at in range(0, len(data), PIECE):
+        own = data[at : at + PIECE + LONGEST - 1]
+        code, found = np.zeros(len(own), np.uint64), []
+        for n in range(1, min(LONGEST, len(own)) + 1):
+            code = (code[: len(own) - n + 1] << np.uint64(8)) | own[n - 1 :]
+            found.append(np.unique(code + np.uint64(n << 40)).view(np.int64))
+        there = np.union1d(there, np.concatenate(found)) if at else np.concatenate(found)
+    return there
+
+
+def places(vocabulary: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Where in the sorted vocabulary the n-grams are that it has."""
+    if not len(vocabulary):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(vocabulary, there)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == there]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (n-grams, languages)
+    vocabulary: np.ndarray  # n-grams of the landmarks, in order
+    weights: np.ndarray  # (n-grams and a row of zeros, languages)
     offsets: np.ndarray
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Presence rows times weights, each over the root of its length."""
+        """Presence rows times weights, each over the root of how many known n-grams it has."""
+        rows = [places(self.vocabulary, r) for r in rows]
         sizes = np.array([max(1, len(r)) for r in rows])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        flat = np.concatenate([r if len(r) else [0] for r in rows])
+        flat = np.concatenate([r if len(r) else [len(self.vocabulary)] for r in rows])
         return np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(sizes)[:, None] + self.offsets
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -79,13 +95,23 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     """Train on (language, presence) rows."""
     languages = sorted({lang for lang, _ in rows})
     if not rows:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
-    full = np.zeros((len(rows), 1 << BITS), np.float32)
-    for own, (_, there) in zip(full, rows):
-        own[there] = 1 / np.sqrt(max(1, len(there)))
-    marks = full[np.linspace(0, len(rows) - 1, min(LANDMARKS, len(rows))).astype(int)]
-    near = (full @ marks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        return Model([], np.empty(0, np.int64), np.zeros((1, 0)), np.zeros(0))
+    chosen = np.linspace(0, len(rows) - 1, min(LANDMARKS, len(rows))).astype(int)
+    vocabulary = np.unique(np.concatenate([rows[i][1] for i in chosen]))
+    known = [places(vocabulary, there) for _, there in rows]
+    scale = np.array([1 / np.sqrt(max(1, len(own))) for own in known])
+    # The landmarks that hold an n-gram, one n-gram after the other.
+    held = np.concatenate([known[i] for i in chosen])
+    order = np.argsort(held, kind="stable")
+    holders = np.repeat(np.arange(len(chosen)), [len(known[i]) for i in chosen])[order]
+    counts = np.bincount(held, minlength=len(vocabulary))
+    starts = np.cumsum(counts) - counts
+    near = np.zeros((len(rows), len(chosen)))
+    for i, own in enumerate(known):
+        n = counts[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near[i] = np.bincount(holders[at], minlength=len(chosen)) * scale[i] * scale[chosen]
+    values, vectors = np.linalg.eigh(near[chosen])
     good = values > values.max() * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström features are near @ root
     features = np.column_stack([near @ root, np.ones(len(rows))])
@@ -93,7 +119,10 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     weigh = np.array([1 / sum(x == lang for x, _ in rows) for lang, _ in rows])[:, None]
     penalty = np.diag([RIDGE / len(languages)] * (features.shape[1] - 1) + [0.0]) + 1e-9 * np.eye(features.shape[1])
     solved = np.linalg.solve(features.T @ (weigh * features) + penalty, features.T @ (weigh * target))
-    return Model(languages, marks.T @ (root @ solved[:-1]), solved[-1])
+    by_mark, weights = root @ solved[:-1], np.zeros((len(vocabulary) + 1, len(languages)))
+    for i, own in zip(chosen, by_mark):
+        weights[known[i]] += scale[i] * own
+    return Model(languages, vocabulary, weights, solved[-1])
 
 
 def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray]]:

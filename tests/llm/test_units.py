@@ -262,6 +262,23 @@ def test_languages_are_told_apart():
     assert langid.fit([]).predict(["x"])[0] == ["und"]
 
 
+def test_long_texts_keep_their_language():
+    """The same hundreds of thousands of foreign n-grams stand in both; only the words differ."""
+    rng = random.Random(5)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400_000))
+    rows = [("a", langid.presence(f"alpha beta {i}")) for i in range(5)] + [("b", langid.presence(f"rhizo xylo {i}")) for i in range(5)]
+    names, _ = langid.fit(rows).predict([f"{noise} alpha beta", f"{noise} rhizo xylo"])
+    assert names == ["a", "b"]
+
+
+def test_presence_in_pieces(monkeypatch):
+    text = "".join(random.Random(6).choices("abcdé ", k=500))
+    whole, data = langid.presence(text), text.encode()
+    assert len(whole) == len({data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)})
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert (langid.presence(text) == whole).all()
+
+
 def test_votes():
     texts = [b"Plain words and more of them. Fine %d" % i for i in range(20)] + [b"LOUD!! WORDS!! HERE!! %d" % i for i in range(20)]
     model = quality.fit(np.stack([quality.term_weights(t) for t in texts]), np.repeat([1.0, 0.0], 20))
