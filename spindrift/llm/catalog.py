@@ -13,6 +13,7 @@ from spindrift.llm.hmm import score_documents
 from spindrift.llm.langid import language_report
 from spindrift.llm.oracle import ORACLE
 from spindrift.llm.packing import pack_documents
+from spindrift.llm.prefixes import prefix_trie
 from spindrift.llm.quality import quality_report
 from spindrift.llm.repeats import repeat_report
 from spindrift.llm.shards import shard_by_bytes
@@ -79,3 +80,8 @@ def op10_hidden_markov_scores(spark, directory):
 @query
 def op6_suffix_dedup(spark, directory):
     return repeat_report(table(spark, directory, "documents"))
+
+
+@query
+def op11_conversation_prefixes(spark, directory):
+    return prefix_trie(table(spark, directory, "conversations"))

@@ -19,6 +19,19 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORDS}')"
 
 
+def crc32(text: str, table: str) -> str:
+    """CRC-32 of an ASCII text; ``table`` is the list of the remainders of one byte."""
+    signs = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    step = f"lambda c, x: xor(c >> 8, {table}[1 + (xor(c, x) & 255)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {signs}), {step}), 4294967295::BIGINT)"
+
+
+# The remainders of one byte, by the polynomial in reversed order.
+CRC_TABLE = (
+    "SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc"
+)
+
 ORACLE = {
     "op2_warc": f"""
         WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
@@ -68,4 +81,34 @@ ORACLE = {
         SELECT doc_id, (strlen(h) // 2)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, n::BIGINT AS n_spans,
           sha256(unhex(kept || substr(h, 2 * last + 1))) AS kept_sha256
         FROM cut""",
+    "op11_conversation_prefixes": f"""
+        WITH turns AS (
+          SELECT conv_id, length(words) AS chars, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos
+          FROM (SELECT conv_id, turn, coalesce(text, '') AS words, coalesce(role, '') AS who,
+                  md5(length(who)::VARCHAR || ':' || who || ':' || words) AS digest FROM conversations WHERE conv_id IS NOT NULL)),
+        convs AS (
+          SELECT conv_id, {crc32('conv_id::VARCHAR', 'crc')} % 6 AS h
+          FROM (SELECT DISTINCT conv_id FROM turns), ({CRC_TABLE})),
+        joined AS (
+          SELECT c.conv_id, 0 AS own, t.pos, digest, chars FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 WHERE t.pos <= h
+          UNION ALL SELECT c.conv_id, 1, t.pos, digest, chars FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE t.pos > h),
+        placed AS (
+          SELECT conv_id, chars, digest, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM joined),
+        paths AS (
+          SELECT conv_id, depth, chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM placed
+          UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        nodes AS (
+          SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+            CASE WHEN depth > 0 THEN substr(key, 1, strlen(key) - 32) END AS up
+          FROM paths GROUP BY key, depth),
+        childless AS (SELECT n.*, c.n AS children FROM nodes n LEFT JOIN (SELECT up, count(*) AS n FROM nodes GROUP BY up) c ON c.up = n.key),
+        below AS (
+          SELECT p.key, sum((n.n - 1) * n.chars) AS saved, count(*) FILTER (children IS NULL) AS leaves
+          FROM childless n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.key),
+        ends AS (
+          SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+          FROM (SELECT conv_id, max_by(key, depth) AS key FROM paths GROUP BY conv_id) GROUP BY key)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n.children, 0)::BIGINT AS n_children,
+          b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM childless n JOIN below b ON b.key = n.key LEFT JOIN nodes u ON u.key = n.up LEFT JOIN ends e ON e.key = n.key""",
 }
