@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.alignment import alignment_report
 from spindrift.llm.common import table
 from spindrift.llm.fmindex import contamination
 from spindrift.llm.hmm import score_documents
@@ -85,3 +86,8 @@ def op6_suffix_dedup(spark, directory):
 @query
 def op11_conversation_prefixes(spark, directory):
     return prefix_trie(table(spark, directory, "conversations"))
+
+
+@query
+def op12_token_alignment(spark, directory):
+    return alignment_report(table(spark, directory, "documents"))
