@@ -12,6 +12,7 @@ from spindrift.llm.common import table
 from spindrift.llm.fmindex import contamination
 from spindrift.llm.hmm import score_documents
 from spindrift.llm.langid import language_report
+from spindrift.llm.ngramjoin import ngram_components
 from spindrift.llm.oracle import ORACLE
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.prefixes import prefix_trie
@@ -91,3 +92,8 @@ def op11_conversation_prefixes(spark, directory):
 @query
 def op12_token_alignment(spark, directory):
     return alignment_report(table(spark, directory, "documents"))
+
+
+@query
+def op13_ngram_jaccard(spark, directory):
+    return ngram_components(table(spark, directory, "documents"))
