@@ -8,9 +8,11 @@ capacity is checked greedily.
 The driver never sees the groups.  It holds running totals at some boundaries,
 first at 4,096 equal slices of the digest space.  A check that takes each cut
 at the last known boundary shows that a capacity suffices; one that lets a cut
-fall anywhere inside an unknown stretch shows that it does not.  Stretches in
-which the two differ are cut finer by one small aggregation a round, until both
-agree: the capacity is then exact.
+fall anywhere inside an unknown stretch shows that it does not.  Both are run
+for some capacities between the two bounds, and the stretches that their cuts
+stop in are split by one small aggregation a round.  Known boundaries stay, and
+each round adds some, so the bounds close in until they meet: the capacity is
+then exact, however unequal the groups are.
 
 Defined cases: null text counts as empty; empty texts form a group like any
 other; a null or repeated doc_id is kept, one slot for each row; no rows give
@@ -21,6 +23,7 @@ cannot clash.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, Window
@@ -29,28 +32,34 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import text_or_empty, written
 
 BUCKET_DIGITS = 3
-SLICES = 1024
+SLICES = 64
+POINTS = 16
 SLOT_BUCKETS = 1024
 
 
 class Boundaries:
-    """Known group boundaries by running total; ``single[i]``: nothing lies between ``ends[i - 1]`` and ``ends[i]``."""
+    """Known group boundaries by running total; ``counts[i]`` groups of one bucket end behind ``ends[i - 1]``, up to ``ends[i]``."""
 
-    def __init__(self, ends: list[int], counts: list[int]):
+    def __init__(self, ends: list[int], counts: list[int], buckets: list[int]):
         self.ends = [0, *ends]
-        self.single = [True, *(c == 1 for c in counts)]
+        self.counts = [1, *counts]
+        self.buckets = [-1, *buckets]
 
     @property
     def total(self) -> int:
         return self.ends[-1]
 
+    def stretch(self, limit: int) -> int | None:
+        """The stretch of several groups that the limit falls into, if it does."""
+        i = bisect_right(self.ends, limit)
+        return i if i < len(self.ends) and self.counts[i] > 1 else None
+
     def last_known(self, limit: int) -> int:
         return self.ends[bisect_right(self.ends, limit) - 1]
 
     def furthest(self, limit: int) -> int:
         """No boundary up to ``limit`` lies beyond this."""
-        i = bisect_right(self.ends, limit)
-        return limit if i < len(self.ends) and not self.single[i] else self.ends[i - 1]
+        return self.last_known(limit) if self.stretch(limit) is None else limit
 
     def cuts(self, capacity: int, shards: int, step) -> list[int]:
         """Greedy cuts; the last is the total if the capacity suffices."""
@@ -70,26 +79,25 @@ class Boundaries:
             low, high = (low, middle) if self.fits(middle, shards, step) else (middle + 1, high)
         return low
 
-    def unknown(self, low: int, high: int, shards: int) -> list[tuple[int, int]]:
-        """Stretches, at most one for each cut, where cuts of a capacity from ``low`` to ``high`` may fall."""
-        zones: list[tuple[int, int]] = []
-        for first, last in zip(self.cuts(low, shards, self.last_known), self.cuts(high, shards, self.furthest)):
-            i, j = bisect_right(self.ends, first), min(bisect_left(self.ends, last), len(self.ends) - 1)
-            while i <= j and self.single[i]:
-                i += 1
-            while i <= j and self.single[j]:
-                j -= 1
-            if i <= j:
-                zone = self.ends[i - 1], self.ends[j]
-                if zones and zone[0] < zones[-1][1]:
-                    zone = zones.pop()[0], max(zone[1], self.ends[j])
-                zones.append(zone)
-        return zones
-
-    def refine(self, zone: tuple[int, int], found: list[tuple[int, int]]) -> None:
-        i, j = bisect_left(self.ends, zone[0]), bisect_left(self.ends, zone[1])
-        self.ends[i + 1 : j + 1] = [end for end, _ in found]
-        self.single[i + 1 : j + 1] = [count == 1 for _, count in found]
+    def stops(self, capacities: list[int], shards: int) -> list[int]:
+        """Stretches that cuts of these capacities fall into."""
+        found = set()
+        for capacity in capacities:
+            for step in (self.last_known, self.furthest):
+                starts = [0, *self.cuts(capacity, shards, step)[:-1]]
+                found |= {self.stretch(at + capacity) for at in starts}
+        return sorted(found - {None})
+
+    def split(self, parts: dict[int, list[tuple[int, int, int]]]) -> None:
+        """Put in what is known of some stretches: least and greatest end, and number, of the groups of each slice."""
+        for i in sorted(parts, reverse=True):
+            new = []
+            for least, greatest, n in sorted(parts[i]):
+                new += [(least, 1)] + ([(greatest, n - 1)] if n > 1 else [])
+            assert sum(n for _, n in new) == self.counts[i] and len(new) > 1 and new[-1][0] == self.ends[i]
+            self.ends[i : i + 1] = [end for end, _ in new]
+            self.counts[i : i + 1] = [n for _, n in new]
+            self.buckets[i : i + 1] = [self.buckets[i]] * len(new)
 
     def even_cuts(self, capacity: int, shards: int) -> list[int]:
         """Known cuts within the capacity, each as near as may be to an equal share of what is left."""
@@ -125,32 +133,42 @@ def group_ends(keyed: DataFrame) -> tuple[DataFrame, Boundaries]:
         ends.append(at)
     offsets = groups.sparkSession.createDataFrame(starts, "bucket int, before long")
     running = F.sum("bytes").over(Window.partitionBy("bucket").orderBy("key"))
-    placed = groups.join(F.broadcast(offsets), "bucket").select("key", (F.col("before") + running).alias("end"))
-    return written(placed, "shard-ends"), Boundaries(ends, [row.n for row in buckets])
+    placed = groups.join(F.broadcast(offsets), "bucket").select("bucket", "key", (F.col("before") + running).alias("end"))
+    known = Boundaries(ends, [row.n for row in buckets], [row.bucket for row in buckets])
+    return written(placed, "shard-ends"), known
+
+
+def slices_of(ends: DataFrame, known: Boundaries, stretches: list[int]) -> dict[int, list[tuple[int, int, int]]]:
+    """Least and greatest end, and number, of the groups in equal slices of each stretch."""
+    wanted = [(known.buckets[i], i, known.ends[i - 1], known.ends[i]) for i in stretches]
+    # At most two stretches for each shard, capacity tried and way to cut.
+    table = ends.sparkSession.createDataFrame(wanted, "bucket int, stretch long, low long, high long")
+    width = F.col("high") - F.col("low")
+    found = (
+        ends.join(F.broadcast(table), "bucket").filter("end > low AND end <= high")
+        .groupBy("stretch", F.floor((F.col("end") - F.col("low") - 1).cast("double") / width * SLICES).alias("slice"))
+        .agg(F.min("end").alias("least"), F.max("end").alias("greatest"), F.count("*").alias("n"))
+        .collect()  # at most SLICES rows for each stretch
+    )
+    parts: dict[int, list[tuple[int, int, int]]] = {i: [] for i in stretches}
+    for row in found:
+        parts[row.stretch].append((row.least, row.greatest, row.n))
+    return parts
+
 
+def settle(known: Boundaries, shards: int, look: Callable[[list[int]], dict[int, list[tuple[int, int, int]]]]) -> int:
+    """The smallest capacity, with stretches split as far as it takes to be sure of it.
 
-def settle(ends: DataFrame, known: Boundaries, shards: int) -> int:
-    """The smallest capacity, with boundaries refined as far as it takes to be sure of it."""
+    ``look`` tells of some stretches what ``Boundaries.split`` takes.  A capacity that
+    suffices only inside a stretch has a cut that stops there, so there is always one to split.
+    """
     while True:
         enough = known.smallest(shards, known.last_known)
         least = known.smallest(shards, known.furthest)
         if least >= enough:
             return enough
-        zones = known.unknown(least, enough, shards)
-        cases = [
-            F.when(
-                (F.col("end") > a) & (F.col("end") <= b),
-                F.struct(F.lit(i).alias("zone"), F.floor((F.col("end") - a - 1) * SLICES / (b - a)).alias("slice")),
-            )
-            for i, (a, b) in enumerate(zones)
-        ]
-        found = (
-            ends.select("end", F.coalesce(*cases).alias("at")).filter("at is not null")
-            .groupBy("at").agg(F.max("end").alias("end"), F.count("*").alias("n"))
-            .orderBy("end").collect()  # at most SLICES rows for each cut
-        )
-        for i, zone in enumerate(zones):
-            known.refine(zone, [(row.end, row.n) for row in found if row["at"].zone == i])
+        tried = sorted({least + (enough - least) * k // POINTS for k in range(POINTS + 1)})
+        known.split(look(known.stops(tried, shards)))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -166,7 +184,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         "shard-keys",
     )
     ends, known = group_ends(keyed)
-    cuts = known.even_cuts(settle(ends, known, shards), shards)
+    capacity = settle(known, shards, lambda stretches: slices_of(ends, known, stretches))
+    cuts = known.even_cuts(capacity, shards)
     keys = {0: ""} | {row.end: row.key for row in ends.filter(F.col("end").isin(cuts)).collect()}
     shard = sum((F.col("key") > keys[cut]).cast("int") for cut in cuts) if cuts else F.lit(0)
     placed = keyed.withColumn("shard", shard.cast("int")).withColumn(
@@ -192,6 +211,6 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     for size in sizes:
         at += size
         ends.append(at)
-    known = Boundaries(ends, [1] * len(ends))
+    known = Boundaries(ends, [1] * len(ends), [0] * len(ends))
     assert all(b > a for a, b in pairwise(known.ends))
     return known.smallest(shards, known.last_known)

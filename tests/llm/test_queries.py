@@ -140,6 +140,22 @@ def test_shards_have_the_smallest_capacity(spark, monkeypatch):
     assert max(held.values()) == shards.smallest_capacity([groups[k] for k in sorted(groups)], 16)
 
 
+@pytest.mark.parametrize("every", [2, 10])
+def test_shards_of_a_table_with_a_frequent_text(spark, monkeypatch, every):
+    monkeypatch.setattr(shards, "SLICES", 8)
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % every == 0, F.repeat(F.lit("copy "), 60)).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"),
+    )
+    held = Counter()
+    for r in shards.shard_by_bytes(docs, 16).collect():
+        held[r.shard] += r["size"]
+    groups = defaultdict(int)
+    for _, text in rows_of(docs):
+        groups[hashlib.sha256(text.encode()).hexdigest()] += len(text.encode()) + 1
+    assert max(held.values()) == shards.smallest_capacity([groups[k] for k in sorted(groups)], 16)
+
+
 # Neighbours.
 
 

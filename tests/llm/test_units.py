@@ -289,3 +289,33 @@ def test_votes():
 
 def crc_of(ids: list[int]) -> int:
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+@pytest.mark.parametrize("heavy", [[], [0.05] * 3, [0.1], [0.2, 0.2], [0.6], [0.33, 0.02, 0.3]])
+@pytest.mark.parametrize("slices", [2, 64])
+def test_capacity_is_settled_with_heavy_groups(heavy, slices, monkeypatch):
+    monkeypatch.setattr(shards, "SLICES", slices)
+    rng = random.Random(len(heavy) + slices)
+    sizes = [rng.randint(1, 3000) for _ in range(20_000)]
+    for share in heavy:
+        sizes.insert(rng.randrange(len(sizes)), int(share * 30_000_000 / (1 - sum(heavy))))
+    ends = np.cumsum(sizes)
+    bucket = np.sort([rng.randrange(256) for _ in sizes])
+    own = np.unique(bucket)
+    last = np.searchsorted(bucket, own, "right") - 1
+    known = shards.Boundaries(ends[last].tolist(), np.diff(last, prepend=-1).tolist(), own.tolist())
+    rounds = []
+
+    def look(stretches):
+        rounds.append(len(stretches))
+        parts = {}
+        for i in stretches:
+            low, high = known.ends[i - 1], known.ends[i]
+            inside = ends[(ends > low) & (ends <= high)]
+            at = (inside - low - 1) * slices // (high - low)
+            parts[i] = [(int(inside[at == s].min()), int(inside[at == s].max()), int((at == s).sum())) for s in np.unique(at)]
+        return parts
+
+    assert shards.settle(known, 16, look) == shards.smallest_capacity(sizes, 16)
+    assert len(rounds) <= 20
+    assert set(known.ends) <= {0, *ends.tolist()}
