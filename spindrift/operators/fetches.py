@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import content_key, url_parts
+from spindrift.operators.places import PLACE, at_places, with_places
+from spindrift.session import cut_lineage
 
 # The status lines that count as success, and the page type.
 OK_STATUS = ("HTTP/1.1 200 OK", "HTTP/1.0 200 OK")
@@ -45,14 +47,25 @@ def content_store(fetched: DataFrame) -> DataFrame:
     return newest_content(keyed)
 
 
+def narrow_order(*columns: str) -> Column:
+    """The order of rows by some columns, then by ``_md5`` and place.
+
+    Spark puts a projection's expression into the aggregate above it where it is
+    used once, and would then sort rows with their texts; used twice, it stays.
+    """
+    return F.struct(*columns, "_md5", F.col("_md5").alias("_same"), *PLACE)
+
+
 def newest_content(keyed: DataFrame) -> DataFrame:
-    """One body per (domain, key).  Tasks keep one row per key before the shuffle,
-    so many copies of one page stay cheap."""
-    newest = F.max_by(
-        F.struct("url", "body", "fetched_at"), F.struct("fetched_at", "url", F.md5("body"))
-    )
-    return (
-        keyed.groupBy("domain_id", "content_key")
-        .agg(newest.alias("row"))
-        .select("domain_id", "content_key", "row.url", "row.body", "row.fetched_at")
-    )
+    """One body per (domain, key).
+
+    The row is chosen without its body, and tasks keep one row per key before
+    the shuffle, so many copies of one page stay cheap.  Only chosen bodies move.
+    """
+    columns = ["domain_id", "content_key", "url", "body", "fetched_at"]
+    placed = [c for c in PLACE if c in keyed.columns]
+    rows = with_places(keyed.select(*columns, *placed), "keyed-bodies")
+    narrow = rows.select("domain_id", "content_key", "fetched_at", "url", F.md5("body").alias("_md5"), *PLACE)
+    newest = narrow.groupBy("domain_id", "content_key").agg(F.max(narrow_order("fetched_at", "url")).alias("row"))
+    chosen = cut_lineage(newest.select(*[F.col(f"row.{c}").alias(c) for c in PLACE]))
+    return at_places(rows, chosen).select(*columns)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import SUPPORTED_SCHEMES
@@ -28,6 +29,7 @@ from spindrift.operators.frontier import (
     update_next_visit,
 )
 from spindrift.operators.links import hrefs, link_parts
+from spindrift.operators.places import PLACE, at_places, from_files, has_places, sieved, stored
 from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import new_urls
 from spindrift.session import cut_lineage, run_dir
@@ -45,9 +47,6 @@ from spindrift.sources.tables import (
 # URLs of a batch that may be listed in a filter on the pages.
 LISTED_URLS = 1_000
 
-# What the hashes of a batch's URLs may take up when they are sent to every task.
-HASH_BYTES = 64 << 20
-
 
 @dataclass(frozen=True)
 class StepResult:
@@ -75,12 +74,12 @@ def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
 
 
 def _fetch(batch: DataFrame, pages: DataFrame, few: bool, n: int | None) -> DataFrame:
-    """Batch rows with their newest snapshot.
+    """Batch rows with their newest snapshot, and the place it was read from.
 
-    The small side moves to the pages; copies of a page are reduced to one by
-    each task before any text is shuffled.  A batch that is too large to be sent
-    whole goes as hashes of its URLs, while those fit into ``HASH_BYTES``, so
-    that texts of other pages are left where they are.
+    The snapshot is chosen by URL and time, without its text; the texts of
+    copies with one time are compared only where there are such.  A small batch
+    is sent to the pages, a large one as a sieve of its URLs, so that only texts
+    that may be wanted are shuffled.
     """
     keys = ["url"]
     if counts := layouts(pages):
@@ -88,25 +87,41 @@ def _fetch(batch: DataFrame, pages: DataFrame, few: bool, n: int | None) -> Data
         batch = batch.withColumn("buckets", F.explode(F.array(*map(F.lit, counts))))
         batch = batch.withColumn("bucket", page_bucket(F.col("url"), F.col("buckets")))
         # No more small numbers than there are folders; they prune those that are read.
-        folders = [f"{r.buckets}/{r.bucket}" for r in batch.select("buckets", "bucket").distinct().collect()]
-        pages = pages.filter(F.concat_ws("/", "buckets", "bucket").isin(folders))
-    if not few and 8 * batch.count() <= HASH_BYTES:
-        hashes = F.broadcast(batch.select(F.xxhash64("url").alias("_hash")).distinct())
-        pages = pages.withColumn("_hash", F.xxhash64("url")).join(hashes, "_hash", "left_semi").drop("_hash")
+        folders = batch.groupBy("buckets").agg(F.collect_set("bucket").alias("own")).collect()
+        terms = [(F.col("buckets") == r.buckets) & F.col("bucket").isin(r.own) for r in folders]
+        pages = pages.filter(reduce(Column.__or__, terms, F.lit(False)))
     if n is not None and n <= LISTED_URLS:
         # So few URLs can be told to the scan, which skips files and row groups sorted by URL.
         pages = pages.filter(F.col("url").isin([row.url for row in batch.select("url").collect()]))
-    batch = F.broadcast(batch) if few else batch
     body = F.col("body" if "body" in pages.columns else "html")
     taken_at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp_ntz")
-    copies = pages.select(
-        *keys, "status_line", "content_type", body.alias("body"), taken_at.alias("fetched_at")
-    ).join(batch, keys)
-    newest = F.max_by(
-        F.struct("url", "host", "status_line", "content_type", "body"),
-        F.struct("fetched_at", F.md5("body"), "status_line", "content_type"),
-    )
-    return copies.groupBy("id").agg(newest.alias("row")).select("id", "row.*")
+    pages = pages.select(*keys, "status_line", "content_type", body.alias("body"), taken_at.alias("fetched_at"))
+    wanted = batch if few else cut_lineage(batch)
+
+    def of_batch(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(wanted), keys) if few else sieved(rows, wanted, ["url"]).join(wanted, keys)
+
+    if has_places(pages):
+        pages = from_files(pages)
+        copies = of_batch(pages.select(*keys, "fetched_at", *PLACE))
+    else:
+        # Rows of other sources get places by being written, those of the batch alone.
+        pages = copies = stored(of_batch(pages), "copies")
+    row = ["url", "host", *PLACE]
+    same_time = copies.groupBy("id", "fetched_at").agg(F.count("*").alias("n"), F.min(F.struct(*row)).alias("row"))
+    newest = same_time.groupBy("id").agg(F.max(F.struct("fetched_at", "n", "row")).alias("top"))
+    newest = cut_lineage(newest.select("id", "top.n", "top.fetched_at", "top.row.*"))
+    chosen = newest.filter("n = 1").select("id", *row)
+    tied = newest.filter("n > 1").select("id", F.col("fetched_at").alias("_at"))
+    if not tied.isEmpty():
+        same = copies.join(tied, "id").filter(F.equal_null("fetched_at", "_at")).select("id", *row)
+        texts = at_places(pages.select("status_line", "content_type", "body", *PLACE), cut_lineage(same))
+        narrow = texts.select("id", "url", "host", F.md5("body").alias("_md5"), "status_line", "content_type", *PLACE)
+        order = F.struct("_md5", F.col("_md5").alias("_same"), "status_line", "content_type", *row)
+        decided = narrow.groupBy("id").agg(F.max(order).alias("row"))
+        chosen = cut_lineage(chosen.unionByName(decided.select("id", *[F.col(f"row.{c}").alias(c) for c in row])))
+    texts = pages.select("status_line", "content_type", "body", *PLACE)
+    return at_places(texts, chosen).select("id", "url", "host", "status_line", "content_type", "body", *PLACE)
 
 
 def _with_domain(bodies: DataFrame, kept: DataFrame, domain: DataFrame, few: bool) -> DataFrame:

@@ -11,7 +11,6 @@ from spindrift import session
 from spindrift.functions.robots import pattern_found
 from spindrift.operators import dims, fetches, frontier, links, report, robots, search
 from spindrift.operators.throttle import throttle
-from spindrift.plans import crawl as crawl_plan
 from spindrift.plans.crawl import crawl, crawl_step
 from spindrift.sources import tables
 from spindrift.streaming.links import run_merge, stream_links
@@ -72,27 +71,6 @@ def test_number_of_buckets_comes_from_the_layout(spark, tmp_path, buckets):
     assert {r.doc_id for r in found} == {1, 2}
 
 
-def test_large_batches_leave_other_texts_where_they_are(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(crawl_plan, "FEW_ROWS", -1)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        urls = spark.createDataFrame([(1, "http://a/", "a")], "id long, url string, host string")
-        pages = spark.range(1000).select(
-            F.concat(F.lit("http://p/"), "id").alias("url"), F.lit("<p>").alias("html"),
-            F.lit("HTTP/1.1 200 OK").alias("status_line"), F.lit("text/html").alias("content_type"),
-        )
-        pages.write.parquet(str(tmp_path / "pages"))
-        fetched = crawl_plan._fetch(urls, spark.read.parquet(str(tmp_path / "pages")), False, None)
-        text = fetched._jdf.queryExecution().executedPlan().toString()
-        scan = text.rindex("html#")
-        assert text.index("LeftSemi") < scan and "BroadcastHashJoin" in text
-        between = text[text.index("LeftSemi") : scan]
-        assert "Exchange hashpartitioning(url" not in between
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def test_streams_take_links_from_good_answers_only(spark, tmp_path):
     rows = [
         (1, "http://a/1", '<a href="/ok">', "HTTP/1.1 200 OK", "text/html"),
