@@ -2,9 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``docs``.  Rejected documents go, one document of
-each group of near duplicates stays, repeated strings and benchmark passages
-are cut out of the texts, and what is left is packed into sequences.  A text
-that is cut down to nothing stays as an empty document.
+each group whose SimHash fingerprints link stays, repeated strings and benchmark
+passages are cut out of the texts, and what is left is packed into sequences.
+A text that is cut down to nothing stays as an empty document.
 """
 
 from __future__ import annotations
@@ -16,10 +16,7 @@ from spindrift.llm.fmindex import decontaminate
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.quality import keep_good
 from spindrift.llm.repeats import cut_repeats
-from spindrift.llm.simhash import one_of_each, similar
-
-SIMILARITY = 0.8
-SHINGLE = 5
+from spindrift.llm.simhash import EXACT, one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, similar(SIMILARITY, SHINGLE))
+    """One document of each component of fingerprints: three-word shingles, three differing bits at most."""
+    return one_of_each(docs, EXACT)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
