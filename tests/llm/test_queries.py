@@ -460,8 +460,22 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL)
     kept = corpus_pipeline.near_duplicates(spark, good, SMALL)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
+    # Of each component of the fingerprints, the smallest doc_id stays.
+    first = {r.component_id for r in simhash.duplicates_report(good).collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_hostile_rows(spark, hostile, nothing, empty):
+    docs = nothing if empty else hostile
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == hostile.columns and docs.schema == hostile.schema
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len({r.doc_id for r in packed}) == len({r.doc_id for r in docs.collect()})
+    assert empty == (not packed)
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
