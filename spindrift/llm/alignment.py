@@ -22,7 +22,6 @@ input, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import batch_of, sliced, tidy, written
+from spindrift.llm.vocabularies import ByteVocabulary, PieceVocabulary
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 SECTION_CHARS = 1 << 18
 LOW = (1 << 32) - 1
 CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
@@ -60,49 +60,17 @@ def paths() -> tuple[str, str]:
 
 
 class Tokenizers:
-    """Two tokenizers, the bytes of their entries, and the digits of their ids with what may follow them."""
+    """Two vocabularies, the bytes of their entries, and the digits of their ids with what may follow them."""
 
     def __init__(self, a_path: str, b_path: str):
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes = pa.array(self._byte_level(), pa.binary())
-        self.b_bytes = pa.array(self._pieces(), pa.binary())
+        self.a, self.b = ByteVocabulary(a_path), PieceVocabulary(b_path)
+        self.a_bytes, self.b_bytes = (pa.array(v.entries(), pa.binary()) for v in (self.a, self.b))
         n_a, n_b = len(self.a_bytes), len(self.b_bytes)
         ends = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
         self.digits = pa.array([f"{i}{end}" for n, end in ends for i in range(n)], pa.binary())
 
-    def _byte_level(self) -> list[bytes]:
-        # The vocabulary writes each byte as one printable character.
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in set(printable)]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        names = {i: word for word, i in self.a.get_vocab(with_added_tokens=True).items()}
-        added = {i for i in self.a.get_added_tokens_decoder()}
-        words = [names.get(i, "") for i in range(max(names) + 1)]
-        return [
-            w.encode() if i in added or not byte.keys() >= set(w) else bytes(byte[c] for c in w) for i, w in enumerate(words)
-        ]
-
-    def _pieces(self) -> list[bytes]:
-        b = self.b
-        return [
-            bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(b.get_piece_size())
-        ]
-
-    @cached_property
-    def crosses(self) -> bool:
-        """Whether a piece goes on behind a word, so that sections would change tokens."""
-        words = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
-        return any("▁" in word.lstrip("▁") for word in words)
-
     def sections(self, text: str) -> list[str]:
-        if len(text) <= SECTION_CHARS or self.crosses:
+        if len(text) <= SECTION_CHARS or not self.b.by_unit:
             return [text]
         found, at = [], 0
         while m := CUT.search(text, at + SECTION_CHARS):
@@ -111,15 +79,14 @@ class Tokenizers:
         return [*found, text[at:]]
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """Both tokenizers' ids of each text."""
-        cut = [self.sections(t) for t in texts]
-        flat = [s for sections in cut for s in sections]
-        a, b = [e.ids for e in self.a.encode_batch_fast([" " + s for s in flat], add_special_tokens=False)], self.b.encode(flat, num_threads=1)
-        both = pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))
-        if len(flat) == len(texts):
-            return both
-        rows = np.concatenate(([0], np.cumsum([len(sections) for sections in cut])))
-        return tuple(pa.ListArray.from_arrays(pa.array(x.offsets.to_numpy()[rows]), x.values) for x in both)
+        """Both vocabularies' ids of each text; a space goes before it."""
+        cut = [self.sections(t) if t else [] for t in texts]
+        both = []
+        for one in (lambda s: self.a.ids(" " + s), self.b.ids):
+            found = [np.concatenate([np.empty(0, np.int32), *map(one, sections)]) for sections in cut]
+            ends = cumulative(np.array([len(f) for f in found], np.int64)).astype(np.int32)
+            both.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found]))))
+        return tuple(both)
 
 
 _TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}

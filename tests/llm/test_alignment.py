@@ -12,6 +12,7 @@ from spindrift.llm import alignment
 from spindrift.llm.alignment import Aligned, Tokenizers, alignment_report, link_counts, paths, token_groups
 from spindrift.llm.catalog import QUERIES
 from spindrift.llm.common import table
+from spindrift.llm.vocabularies import is_plain
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 HARD_TEXTS = [
@@ -27,8 +28,8 @@ def tools():
 
 def plain(tools, text):
     """Both lists of (id, bytes), or nothing if they do not spell out the text."""
-    a = tools.a.encode(" " + text, add_special_tokens=False).ids if text else []
-    b = tools.b.encode(text) if text else []
+    a = tools.a.tokenizer.encode(" " + text, add_special_tokens=False).ids if text else []
+    b = tools.b.model.encode(text) if text else []
     both = [[(i, tools.a_bytes[i].as_py()) for i in a], [(i, tools.b_bytes[i].as_py()) for i in b]]
     wanted = b" " + (text or "").encode()
     if not text or any(b"".join(x for _, x in side) != wanted for side in both):
@@ -101,6 +102,17 @@ def test_groups_cut_both_lists(spark, tools, rows):
     assert len(got) == sum(d is not None for d, _ in want) + 1
 
 
+def test_ids_are_those_of_the_libraries(tools):
+    rng = random.Random(4)
+    plain = [chr(c) for c in range(0x250) if is_plain(chr(c))] + list("‐—‘’“”•€")
+    alphabets = [plain, "ab  \n\n'stre .é", [chr(c) for c in range(0x300)], [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]]
+    for n in range(6000):
+        alphabet = alphabets[n % 4]
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 40)))
+        assert tools.a.ids(" " + text).tolist() == tools.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert tools.b.ids(text).tolist() == tools.b.model.encode(text), repr(text)
+
+
 def test_sections_change_nothing(tools, monkeypatch):
     rng = random.Random(3)
     texts = [" ".join(rng.choices(["the", "Out", "é", "x1", "don't", "", "日本", "a.b", "\n"], k=400)) for _ in range(10)]
