@@ -92,7 +92,19 @@ def upsert_dim(
     defaults: dict[str, Column] | None = None,
     few: bool = False,
 ) -> DataFrame:
-    """The dimension grown by the distinct names it lacks.
+    """The dimension grown by the distinct names it lacks."""
+    added = new_dim_rows(dim, names, key, defaults, few)
+    return dim if added is None else dim.unionByName(added)
+
+
+def new_dim_rows(
+    dim: DataFrame,
+    names: DataFrame,
+    key: str = "name",
+    defaults: dict[str, Column] | None = None,
+    few: bool = False,
+) -> DataFrame | None:
+    """The entries that the dimension lacks, or None.
 
     ``names`` holds the column ``key``; ``defaults`` fills the other columns.
     The new entries are written once, as ids are looked up in them many times.
@@ -100,9 +112,8 @@ def upsert_dim(
     missing = absent(names.select(key).filter(F.col(key).isNotNull()).distinct(), dim, [key], few)
     missing = cut_lineage(missing)
     if missing.isEmpty():
-        return dim
-    added = cut_lineage(_number(missing, [key], next_id(dim)).withColumns(defaults or {}))
-    return dim.unionByName(added.select(*dim.columns))
+        return None
+    return cut_lineage(_number(missing, [key], next_id(dim)).withColumns(defaults or {}).select(*dim.columns))
 
 
 def upsert_domain(domain: DataFrame, hosts: DataFrame, now: Column, few: bool = False) -> DataFrame:
@@ -110,6 +121,11 @@ def upsert_domain(domain: DataFrame, hosts: DataFrame, now: Column, few: bool =
     return upsert_dim(domain, hosts, "name", {"next_visit": now}, few)
 
 
+def new_domains(domain: DataFrame, hosts: DataFrame, now: Column, few: bool = False) -> DataFrame | None:
+    """The domains that are missing for the hosts seen, or None."""
+    return new_dim_rows(domain, hosts, "name", {"next_visit": now}, few)
+
+
 def upsert_protocols(protocols: DataFrame, schemes: DataFrame) -> DataFrame:
     """Schemes grown by those seen; http and https keep their fixed ids."""
     return upsert_dim(with_fixed_protocols(protocols), schemes)

@@ -54,16 +54,24 @@ def frontier(
     return heads if n is None else heads.orderBy("added", "id").limit(n)
 
 
-def enqueue(
+def new_queue_rows(
     queue: DataFrame, links: DataFrame, now: Column, few: bool = False, last: Column | None = None
 ) -> DataFrame:
-    """The queue grown by the URLs it lacks; ``links`` holds ``url`` and ``domain_id``.
+    """The rows that the queue lacks; ``links`` holds ``url`` and ``domain_id``.
 
     Ids go on from ``last``, or from the largest in the queue.
     """
     fresh = links.groupBy("url").agg(F.min("domain_id").alias("domain_id"))
-    added = assign_ids(absent(fresh, queue, ["url"], few), ["url"], next_id(queue) if last is None else last + 1).withColumn("added", now)
-    return queue.unionByName(added.select(*queue.columns))
+    start = next_id(queue) if last is None else last + 1
+    added = assign_ids(absent(fresh, queue, ["url"], few), ["url"], start).withColumn("added", now)
+    return added.select(*queue.columns)
+
+
+def enqueue(
+    queue: DataFrame, links: DataFrame, now: Column, few: bool = False, last: Column | None = None
+) -> DataFrame:
+    """The queue grown by the URLs it lacks."""
+    return queue.unionByName(new_queue_rows(queue, links, now, few, last))
 
 
 def add_seeds(

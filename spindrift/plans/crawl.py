@@ -15,16 +15,15 @@ from spindrift.operators.dims import (
     absent,
     fixed_scheme_id,
     near,
-    upsert_domain,
+    new_domains,
     with_dim_id,
     with_fixed_protocols,
 )
 from spindrift.operators.fetches import content_store, fetch_outcome
 from spindrift.operators.frontier import (
-    dequeue,
     due,
-    enqueue,
     frontier,
+    new_queue_rows,
     split_valid,
     update_next_visit,
 )
@@ -33,15 +32,8 @@ from spindrift.operators.places import PLACE, at_places, from_files, has_places,
 from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import new_urls
 from spindrift.session import cut_lineage, run_dir
-from spindrift.sources.tables import (
-    GROWING,
-    CrawlState,
-    layouts,
-    load_version,
-    page_bucket,
-    save_version,
-    write_content,
-)
+from spindrift.sources.statelog import Change, grown, load_version, save_first, save_version
+from spindrift.sources.tables import CrawlState, layouts, page_bucket, write_content
 
 
 # URLs of a batch that may be listed in a filter on the pages.
@@ -52,12 +44,12 @@ LISTED_URLS = 1_000
 class StepResult:
     """What a step did.
 
-    ``changes`` holds the rows added to the growing tables and the other tables
-    whole, as ``save_version`` writes them; ``state`` is the new state.
+    ``changes`` holds what each table gains and loses, as ``save_version`` writes
+    it; ``state`` is the new state.
     """
 
     before: CrawlState
-    changes: dict[str, DataFrame]
+    changes: dict[str, Change]
     outcomes: DataFrame
     fetched: DataFrame
 
@@ -66,11 +58,8 @@ class StepResult:
         return grown(self.before, self.changes)
 
 
-def grown(before: CrawlState, changes: dict[str, DataFrame]) -> CrawlState:
-    old = before.tables()
-    return before.with_tables(
-        **{name: old[name].unionByName(df) if name in GROWING else df for name, df in changes.items()}
-    )
+def _both(one: DataFrame, more: DataFrame | None) -> DataFrame:
+    return one if more is None else one.unionByName(more)
 
 
 def _fetch(batch: DataFrame, pages: DataFrame, few: bool, n: int | None) -> DataFrame:
@@ -158,7 +147,8 @@ def crawl_step(
 
     few = batch.count() <= FEW_ROWS
     valid, invalid = split_valid(batch)
-    domain = upsert_domain(state.domain, valid.select(F.col("host").alias("name")), at, few)
+    met = new_domains(state.domain, valid.select(F.col("host").alias("name")), at, few)
+    domain = _both(state.domain, met)
     open_now = due(valid, domain, at, few).select("id").withColumn("is_due", F.lit(True))
     judged = cut_lineage(
         robots_blocked(valid.join(open_now, "id", "left"), rules, agent, few).select(
@@ -187,7 +177,8 @@ def crawl_step(
     targets = cut_lineage(links.select(F.col("resolved").alias("url"), "scheme", "host", "path").distinct())
 
     few_links = targets.count() <= FEW_ROWS
-    domain = upsert_domain(domain, targets.select(F.col("host").alias("name")), at, few_links)
+    linked = new_domains(domain, targets.select(F.col("host").alias("name")), at, few_links)
+    domain = _both(domain, linked)
     targets = with_dim_id(targets, domain, "host", "domain_id", few=few_links).withColumn(
         "scheme_id", fixed_scheme_id(F.col("scheme"))
     )
@@ -197,16 +188,24 @@ def crawl_step(
     fresh = targets
     if skip_known:
         fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"], few_links)
-    all_queue = enqueue(state.queue, fresh, at, few_links, state.last_id())
+    queued = new_queue_rows(state.queue, fresh, at, few_links, state.last_id())
+    protocols = with_fixed_protocols(state.protocols)
+    # Domains that are new, or were visited now.
+    visited = near(state.domain, kept.select(F.col("host").alias("name")), ["name"]) if few else state.domain.join(
+        kept.select(F.col("host").alias("name")).distinct(), "name", "left_semi"
+    )
+    changed = update_next_visit(_both(_both(visited, met), linked), kept.select("host"), at, delay, few)
+    last = F.greatest(state.last_id(), F.coalesce(queued.agg(F.max("id")).scalar(), F.lit(0).cast("bigint")))
+    marks = state.protocols.sparkSession.range(1).select(F.lit("queue").alias("name"), last.alias("last"))
     return StepResult(
         state,
         {
-            "marks": state.with_tables(queue=all_queue).marked().marks,
-            "queue": dequeue(all_queue, done.select("id"), few),
-            "domain": update_next_visit(domain, kept.select("host"), at, delay, few),
-            "protocols": with_fixed_protocols(state.protocols),
-            "url": new_urls(state.url, targets, few_links),
-            "tried": tried,
+            "marks": Change(whole=marks),
+            "queue": Change(queued, done.select("id")),
+            "domain": Change(changed),
+            "protocols": Change(absent(protocols, state.protocols, ["name"])),
+            "url": Change(new_urls(state.url, targets, few_links)),
+            "tried": Change(tried),
         },
         outcomes,
         _with_domain(bodies.filter(stored).withColumn("fetched_at", at), kept, domain, few),
@@ -226,14 +225,14 @@ def crawl(
 ) -> tuple[CrawlState, DataFrame]:
     """Steps until the queue is empty or ``rounds`` are done, ``tick`` seconds apart.
 
-    Each round's state is written as a new version and read back, so no plan
-    grows with the number of rounds; stored links are only added to.  Gives the
+    Each round's changes are written as a new version and read back merged, so
+    no plan grows with the number of rounds.  Gives the
     last state and all outcomes with their ``round``.  With ``content`` each
     round's bodies are written to a folder below it, for ``read_content``.
     """
     spark = state.queue.sparkSession
     directory = directory or run_dir(spark, "crawl")
-    save_version(state.marked().tables(), directory, 0)
+    save_first(state, directory)
     state = load_version(spark, directory, 0)
     written = []
     for number in range(1, rounds + 1):
@@ -244,7 +243,7 @@ def crawl(
         step.outcomes.write.mode("overwrite").parquet(f"{directory}/outcomes/round={number}")
         if content is not None:
             write_content(content_store(step.fetched), f"{content}/round={number}")
-        save_version(step.changes, directory, number)
+        save_version(spark, step.changes, directory, number)
         state = load_version(spark, directory, number)
         written.append(number)
     schema = "id bigint, url string, outcome string, round int"

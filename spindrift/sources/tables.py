@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.errors import AnalysisException
@@ -33,9 +32,6 @@ JDBC_NAMES = {"queue": "crawl_queue"}
 # Tables that rows are added to and never taken from.
 GROWING = ("url", "tried")
 
-# Never empty, so its newest version tells how far the state has come.
-COMPLETES = "protocols"
-
 
 @dataclass(frozen=True)
 class CrawlState:
@@ -57,11 +53,10 @@ class CrawlState:
         return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 
     def last_id(self) -> Column:
-        """The largest id ever given in the queue."""
-        held = self.queue.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+        """The largest id ever given in the queue; the queue itself is asked only where there are no marks."""
         if self.marks is None:
-            return held
-        return F.greatest(held, F.coalesce(self.marks.filter("name = 'queue'").agg(F.max("last")).scalar(), F.lit(0)))
+            return self.queue.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+        return F.coalesce(self.marks.filter("name = 'queue'").agg(F.max("last")).scalar(), F.lit(0).cast("bigint"))
 
     def marked(self) -> CrawlState:
         """The state with its mark as a table."""
@@ -197,43 +192,6 @@ def write_state(state: CrawlState, directory: str) -> CrawlState:
     return read_state(state.queue.sparkSession, directory)
 
 
-def save_version(tables: dict[str, DataFrame], directory: str, version: int) -> None:
-    """Write one version of the tables: additions for those that only grow, whole tables for the others.
-
-    Writing a version again replaces it, and no version is read while it is
-    written.  The tables are written side by side, the one that marks a version
-    as complete last.
-    """
-
-    def save(name: str) -> None:
-        tables[name].write.mode("overwrite").parquet(f"{directory}/{name}/version={version}")
-
-    with ThreadPoolExecutor(len(tables)) as pool:
-        list(pool.map(save, [name for name in tables if name != COMPLETES]))
-    save(COMPLETES)
-
-
-def latest_version(spark: SparkSession, directory: str) -> int:
-    """The number of the last complete version."""
-    rows = spark.read.schema(T.StructType.fromDDL(f"{STATE_SCHEMAS[COMPLETES]}, version int")).parquet(
-        f"{directory}/{COMPLETES}"
-    )
-    return rows.agg(F.max("version")).first()[0]
-
-
-def load_version(spark: SparkSession, directory: str, version: int) -> CrawlState:
-    """The state as of a version; later ones, whole or not, are left out by partition pruning."""
-
-    def load(name: str) -> DataFrame:
-        rows = spark.read.schema(T.StructType.fromDDL(f"{STATE_SCHEMAS[name]}, version int")).parquet(
-            f"{directory}/{name}"
-        )
-        wanted = F.col("version") <= version if name in GROWING else F.col("version") == version
-        return rows.filter(wanted).drop("version")
-
-    return CrawlState(**{name: load(name) for name in STATE_SCHEMAS})
-
-
 def write_content(content: DataFrame, path: str, buckets: int = 256) -> None:
     """Stored bodies by domain bucket, newest version per key already chosen.
 

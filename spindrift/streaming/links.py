@@ -8,14 +8,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.dims import FEW_ROWS, fixed_scheme_id, upsert_domain, with_dim_id, with_fixed_protocols
+from spindrift.operators.dims import FEW_ROWS, absent, fixed_scheme_id, new_domains, with_dim_id, with_fixed_protocols
 from spindrift.operators.fetches import fetch_outcome
-from spindrift.operators.frontier import enqueue
+from spindrift.operators.frontier import new_queue_rows
 from spindrift.operators.links import page_links
 from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import new_urls
 from spindrift.session import cut_lineage
-from spindrift.sources.tables import CrawlState, latest_version, load_version, save_version
+from spindrift.sources.statelog import Change, latest_version, load_version, save_first, save_version
+from spindrift.sources.tables import CrawlState
 
 LINK_KEY = ["scheme", "host", "path"]
 
@@ -50,7 +51,7 @@ def stream_links(
     return found.select("_seen", *LINK_KEY).dropDuplicatesWithinWatermark(LINK_KEY).select(*LINK_KEY)
 
 
-def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str, DataFrame]:
+def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str, Change]:
     """The changes that normalized links make: hosts, schemes, queue, and new stored triples.
 
     The links are written and counted; while they are few, they are sent to the
@@ -60,17 +61,19 @@ def merge_links(state: CrawlState, links: DataFrame, now: datetime) -> dict[str,
     named = links.filter("scheme_supported").select(F.col("resolved").alias("url"), "scheme", "host", "path")
     links = cut_lineage(named.distinct())
     few = links.count() <= FEW_ROWS
-    domain = upsert_domain(state.domain, links.select(F.col("host").alias("name")), at, few)
+    met = new_domains(state.domain, links.select(F.col("host").alias("name")), at, few)
+    domain = state.domain if met is None else state.domain.unionByName(met)
     targets = with_dim_id(links, domain, "host", "domain_id", few=few).withColumn(
         "scheme_id", fixed_scheme_id(F.col("scheme"))
     )
-    queue = enqueue(state.queue, targets, at, few, state.last_id())
+    queued = cut_lineage(new_queue_rows(state.queue, targets, at, few, state.last_id()))
+    last = F.greatest(state.last_id(), F.coalesce(queued.agg(F.max("id")).scalar(), F.lit(0).cast("bigint")))
     return {
-        "domain": domain,
-        "protocols": with_fixed_protocols(state.protocols),
-        "queue": queue,
-        "marks": state.with_tables(queue=queue).marked().marks,
-        "url": new_urls(state.url, targets, few),
+        "domain": Change(met),
+        "protocols": Change(absent(with_fixed_protocols(state.protocols), state.protocols, ["name"])),
+        "queue": Change(queued),
+        "marks": Change(whole=links.sparkSession.range(1).select(F.lit("queue").alias("name"), last.alias("last"))),
+        "url": Change(new_urls(state.url, targets, few)),
     }
 
 
@@ -83,8 +86,9 @@ def merge_batch(directory: str, now: Callable[[int], datetime]) -> Callable[[Dat
     """
 
     def merge(links: DataFrame, batch_id: int) -> None:
-        state = load_version(links.sparkSession, directory, batch_id)
-        save_version(merge_links(state, links, now(batch_id)), directory, batch_id + 1)
+        spark = links.sparkSession
+        state = load_version(spark, directory, batch_id)
+        save_version(spark, merge_links(state, links, now(batch_id)), directory, batch_id + 1)
 
     return merge
 
@@ -99,7 +103,7 @@ def run_merge(
     """
     spark = pages.sparkSession
     if state is not None:
-        save_version(state.marked().tables(), directory, 0)
+        save_first(state, directory)
     query = (
         page_links(followed(pages, rules, agent))
         .writeStream.foreachBatch(merge_batch(directory, now))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.operators.fetches import classify_fetch, content_store
 from spindrift.operators.robots import parse_robots
 from spindrift.plans.crawl import crawl, crawl_step
-from spindrift.sources import tables
+from spindrift.sources import statelog, tables
 from spindrift.streaming.links import run_merge, stream_links
 from spindrift.streaming.run import run_available
 
@@ -176,7 +176,7 @@ def test_stream_merge_is_idempotent_and_goes_on(spark, tmp_path, size):
     more = run_merge(arriving(spark, f"{tmp_path}/in"), None, directory, clock)
     assert {r.url for r in more.queue.collect()} == {A1, A2, B1, "http://b.example/late"}
     assert more.url.count() == 4
-    assert sorted(tables.load_version(spark, directory, 0).queue.collect()) == sorted(start(spark).queue.collect())
+    assert sorted(statelog.load_version(spark, directory, 0).queue.collect()) == sorted(start(spark).queue.collect())
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
