@@ -15,7 +15,7 @@ from spindrift.operators.throttle import throttle
 from spindrift.plans import derived
 from spindrift.plans.crawl import crawl, crawl_step
 from spindrift.session import cut_lineage, run_dir
-from spindrift.sources import tables
+from spindrift.sources import orderindex, tables
 from spindrift.streaming.links import run_merge, stream_links
 from spindrift.streaming.run import run_available
 from spindrift.streaming.throttle import stream_throttle
@@ -370,6 +370,17 @@ def page_of(spark, directory):
     return report.page_of(link_list(spark, directory), page=3)
 
 
+@query
+def page_of_stored(spark, directory):
+    """The last row's page of a link list that was written in order in two parts."""
+    listed, path = cut_lineage(link_list(spark, directory)), run_dir(spark, "ordered")
+    half = listed.count() // 2
+    orderindex.write_ordered(listed.filter(F.col("id") <= half), path, rows_per_file=100)
+    orderindex.append_ordered(listed.filter(F.col("id") > half), path, rows_per_file=100)
+    last = report.page_summary(listed).first().pages
+    return orderindex.rows_at(spark, path, (last - 1) * report.PAGE_SIZE, report.PAGE_SIZE)
+
+
 @query
 def page_index(spark, directory):
     return report.page_index(link_list(spark, directory))

@@ -31,7 +31,7 @@ from spindrift.operators.links import hrefs, link_parts
 from spindrift.operators.places import PLACE, at_places, from_files, has_places, sieved, stored
 from spindrift.operators.robots import robots_blocked
 from spindrift.operators.store import new_urls
-from spindrift.session import cut_lineage, run_dir
+from spindrift.session import cut_lineage, run_dir, side_by_side
 from spindrift.sources.statelog import Change, grown, load_version, save_first, save_version
 from spindrift.sources.tables import CrawlState, layouts, page_bucket, write_content
 
@@ -188,7 +188,10 @@ def crawl_step(
     fresh = targets
     if skip_known:
         fresh = absent(absent(targets, tried, ["url"]), state.tried, ["url"], few_links)
-    queued = new_queue_rows(state.queue, fresh, at, few_links, state.last_id())
+    queued, stored_links = side_by_side(
+        lambda: cut_lineage(new_queue_rows(state.queue, fresh, at, few_links, state.last_id())),
+        lambda: new_urls(state.url, targets, few_links),
+    )
     protocols = with_fixed_protocols(state.protocols)
     # Domains that are new, or were visited now.
     visited = near(state.domain, kept.select(F.col("host").alias("name")), ["name"]) if few else state.domain.join(
@@ -204,7 +207,7 @@ def crawl_step(
             "queue": Change(queued, done.select("id")),
             "domain": Change(changed),
             "protocols": Change(absent(protocols, state.protocols, ["name"])),
-            "url": Change(new_urls(state.url, targets, few_links)),
+            "url": Change(stored_links),
             "tried": Change(tried),
         },
         outcomes,
@@ -240,10 +243,10 @@ def crawl(
             break
         now = start + timedelta(seconds=tick * (number - 1))
         step = crawl_step(state, pages, rules, now, **options)
-        step.outcomes.write.mode("overwrite").parquet(f"{directory}/outcomes/round={number}")
+        beside = [lambda: step.outcomes.write.mode("overwrite").parquet(f"{directory}/outcomes/round={number}")]
         if content is not None:
-            write_content(content_store(step.fetched), f"{content}/round={number}")
-        save_version(spark, step.changes, directory, number)
+            beside.append(lambda: write_content(content_store(step.fetched), f"{content}/round={number}"))
+        save_version(spark, step.changes, directory, number, beside=beside)
         state = load_version(spark, directory, number)
         written.append(number)
     schema = "id bigint, url string, outcome string, round int"

@@ -413,6 +413,7 @@ ORACLE = {
     ),
     "page_summary": sql(f"SELECT {COUNT} AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM url"),
     "page_of": sql("SELECT * FROM list ORDER BY id LIMIT 10 OFFSET 20"),
+    "page_of_stored": sql("SELECT * FROM list ORDER BY id LIMIT 10 OFFSET ((SELECT count(*) FROM list) - 1) // 10 * 10"),
     "page_index": sql("SELECT *, (row_number() OVER (ORDER BY id) - 1) // 10 + 1 AS page FROM list"),
     "crawl_step_outcomes": sql("SELECT * FROM outcome_1", 1),
     "crawl_step_queue": sql("SELECT * FROM queue_1", 1),

@@ -21,8 +21,7 @@ it.  ``expire`` drops what no version within the readers' lease needs.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -30,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.sources.tables import GROWING, STATE_SCHEMAS, CrawlState
+from spindrift.session import side_by_side
+from spindrift.sources.tables import STATE_SCHEMAS, CrawlState
 
 # Tables with rows that change or go, by their id.
 KEYED = ("queue", "domain")
@@ -72,11 +72,6 @@ def grown(before: CrawlState, changes: dict[str, Change]) -> CrawlState:
     )
 
 
-def _in_threads(jobs: list[Callable[[], None]]) -> None:
-    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
-        list(pool.map(lambda job: job(), jobs))
-
-
 def _schema(name: str, extra: str = "") -> T.StructType:
     return T.StructType.fromDDL(STATE_SCHEMAS[name] + extra)
 
@@ -99,9 +94,9 @@ def save_first(state: CrawlState, directory: str) -> None:
     """Version 0, which is its own base."""
     spark, tables = state.queue.sparkSession, state.marked().tables()
     marks = tables.pop("marks")
-    _in_threads(
-        [lambda name=name, rows=rows: _written_base(name, rows, directory, 0) for name, rows in tables.items()]
-        + [lambda: marks.write.mode("overwrite").parquet(f"{directory}/marks/added/version=0")]
+    side_by_side(
+        *[lambda name=name, rows=rows: _written_base(name, rows, directory, 0) for name, rows in tables.items()],
+        lambda: marks.write.mode("overwrite").parquet(f"{directory}/marks/added/version=0"),
     )
     held = [(name, i, 0) for name in KEYED for i in _buckets_of(spark, directory, name, 0)]
     held += [(name, ONE_RUN, 0) for name in tables if name not in KEYED]
@@ -174,22 +169,26 @@ def _since(spark: SparkSession, directory: str, name: str, kind: str, schema: T.
     return rows.filter((F.col("version") > base) & (F.col("version") <= version))
 
 
-def save_version(spark: SparkSession, changes: dict[str, Change], directory: str, version: int, compact_every: int | None = None) -> None:
+def save_version(
+    spark: SparkSession, changes: dict[str, Change], directory: str, version: int, compact_every: int | None = None,
+    beside: Sequence[Callable[[], None]] = (),
+) -> None:
     """Write one version's changes, and a new base if it is time for one.
 
-    Writing a version again replaces it.  The tables are written side by side,
-    the row that makes the version complete last.
+    Writing a version again replaces it.  The tables, and what else is to be
+    written ``beside`` them, are written at once, the row that makes the version
+    complete last.
     """
 
     def save(name: str, kind: str, rows: DataFrame) -> Callable[[], None]:
         return lambda: rows.write.mode("overwrite").parquet(f"{directory}/{name}/{kind}/version={version}")
 
-    jobs = []
+    jobs = list(beside)
     for name, change in changes.items():
         added = change.whole if change.whole is not None else change.added
         jobs += [save(name, "added", added)] if added is not None else []
         jobs += [save(name, "removed", change.removed.select("id"))] if change.removed is not None else []
-    _in_threads(jobs)
+    side_by_side(*jobs)
     base = max(b for b in _complete_bases(spark, directory) if b < max(version, 1))
     _write_version(spark, directory, version, base)
     if version - base >= (compact_every or COMPACT_EVERY):
@@ -246,7 +245,7 @@ def compact(spark: SparkSession, directory: str, version: int) -> None:
         found = _buckets_of(spark, directory, name, version) if touched else []
         new.extend([h for h in kept if h[1] not in touched] + [(name, i, version) for i in found])
 
-    _in_threads([lambda name=name: merge(name) for name in STATE_SCHEMAS if name != "marks"])
+    side_by_side(*[lambda name=name: merge(name) for name in STATE_SCHEMAS if name != "marks"])
     _write_rows(spark, sorted(new), MANIFEST_SCHEMA, f"{directory}/manifest/base={version}")
 
 

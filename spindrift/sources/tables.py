@@ -29,9 +29,6 @@ STATE_SCHEMAS = {
 # Fixed value: what an existing database calls its queue.
 JDBC_NAMES = {"queue": "crawl_queue"}
 
-# Tables that rows are added to and never taken from.
-GROWING = ("url", "tried")
-
 
 @dataclass(frozen=True)
 class CrawlState:
