@@ -82,15 +82,26 @@ def stream_pages(
 ) -> DataFrame:
     """Page snapshots as they arrive, a bounded number of files per micro-batch.
 
-    The columns are those of the files that are there when the stream starts, so
-    headers that were stored with the pages are read with them.
+    The headers are part of the stream from its start, so answers that arrive
+    later are judged by them; a file without header columns holds successful
+    HTML answers, while a header that is missing in a row stays missing.  Other
+    columns are those of the files that are there when the stream starts.
     """
+    fixed = T.StructType([*T.StructType.fromDDL(PAGES_SCHEMA), *_headers_with_defaults()])
     try:
-        schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
+        there = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
     except AnalysisException:  # nothing has arrived yet
-        schema = T.StructType.fromDDL(PAGES_SCHEMA)
+        there = T.StructType([])
+    if "body" in there.names and "html" not in there.names:
+        fixed = T.StructType([f for f in fixed if f.name != "html"])
+    schema = T.StructType([*fixed, *[f for f in there if f.name not in fixed.names]])
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return _with_headers(reader.option("pathGlobFilter", glob).parquet(directory))
+    return reader.option("pathGlobFilter", glob).parquet(directory)
+
+
+def _headers_with_defaults() -> list[T.StructField]:
+    """Header columns with what files that lack them are read as."""
+    return [T.StructField(k, T.StringType(), True, {"EXISTS_DEFAULT": f"'{v}'"}) for k, v in DEFAULT_HEADERS.items()]
 
 
 def write_pages(pages: DataFrame, path: str, buckets: int = 1024) -> None:

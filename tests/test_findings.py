@@ -91,6 +91,28 @@ def test_streams_take_links_from_good_answers_only(spark, tmp_path):
     assert [r.url for r in state.queue.collect()] == ["http://a/ok"]
 
 
+def test_streams_that_start_empty_know_headers(spark, tmp_path):
+    """What arrives later is judged by its headers; files without headers hold good answers."""
+    folder, out = tmp_path / "pages", str(tmp_path / "out")
+    folder.mkdir()
+
+    def arrive(rows, headers):
+        columns = "page_id long, url string, html string" + (", status_line string, content_type string" if headers else "")
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        arriving = tables.stream_pages(spark, str(folder), "*.parquet")
+        return {r.path for r in run_available(stream_links(arriving), "late", out).collect()}
+
+    assert run() == set()
+    arrive([(1, "http://a/1", '<a href="/lost">', "HTTP/1.1 404 Not Found", "text/html"), (2, "http://a/2", '<a href="/ok">', "HTTP/1.0 200 OK", "text/html"),
+               (3, "http://a/3", '<a href="/none">', None, None)], True)
+    assert run() == {"/ok"}
+    arrive([(4, "http://a/4", '<a href="/plain">')], False)
+    arrive([(5, "http://a/5", '<a href="/gone">', "HTTP/1.1 410 Gone", "text/html")], True)
+    assert run() == {"/ok", "/plain"}
+
+
 def test_missing_content_types_are_empty(spark):
     dim = spark.createDataFrame([(1, "text/html")], "id bigint, value string")
     values = spark.createDataFrame([(None,), ("",), ("text/html",)], "value string")
