@@ -17,16 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from spindrift.functions.times import from_micros, micros
 from spindrift.operators.dims import FEW_ROWS
-from spindrift.session import cut_lineage
+from spindrift.session import cut_lineage, run_dir
 
 HOT_ROWS = 5_000_000
-SLOTS = 1 << 20
+# Entries that one task may follow.
+ROWS_AT_ONCE = 2_000_000
 
 
 def throttle(
@@ -88,43 +90,82 @@ def _accept_in_order(log: DataFrame, step: int) -> DataFrame:
     )
 
 
-def _jumps(events: DataFrame, step: int, width: int) -> DataFrame:
-    """Add ``prev``, the event before, and ``next``, the first event after ``us + step``.
+def _jumps(events: DataFrame, step: int) -> DataFrame:
+    """(key, us, next, prev): for each event the first one after ``us + step``, and the one before it.
 
-    Time is cut in slots of ``width``; each (key, slot) is ordered on its own.
-    What lies outside a slot is the nearest event of another one, taken from a
-    table with a row per slot.
+    Every event appears as itself and as the question what follows us + step.
+    Both are dealt by ranges of (key, time), which Spark cuts by numbers of rows,
+    so a burst is spread over tasks.  Read from the latest on, a question is
+    answered by the event read last; what comes before the first event of a
+    range is answered by the ranges before, one row for each range.
     """
-
-    # Every event appears as itself and as the question what follows us + step.
-    itself = events.select("*", F.col("us").alias("at"), F.col("us").alias("here"))
-    question = events.select("*", (F.col("us") + step).alias("at"), F.lit(None).cast("bigint").alias("here"))
-    rows = itself.unionByName(question).withColumn("slot", F.expr(f"at div {width}"))
-
-    per_slot = rows.groupBy("key", "slot").agg(F.min("here").alias("low"), F.max("here").alias("high"))
-    later = W.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy("key").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    around = per_slot.select(
+    spark = events.sparkSession
+    itself = events.select("key", F.col("us").alias("at"), F.lit(True).alias("is_event"))
+    question = events.select("key", (F.col("us") + step).alias("at"), F.lit(False).alias("is_event"))
+    # At one time, the question comes first: it sees later events only.
+    order = [F.desc("key"), F.desc("at"), F.col("is_event")]
+    rows = itself.unionByName(question).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def answer(batches: Iterator) -> Iterator:
+        part, key, at = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, times = batch.column("key"), batch.column("at").to_numpy()
+            event = batch.column("is_event").to_numpy(zero_copy_only=False)
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            # The place of the event of its key read last before each row; -1 if this batch has none.
+            seen = np.concatenate(([-1], np.maximum.accumulate(np.where(event, np.arange(n), -1))[:-1]))
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            has = seen >= start
+            later = np.where(has, times[seen], 0)
+            if at is not None and keys[0].as_py() == key:
+                going_on = (start == 0) & ~has
+                later[going_on], has[going_on] = at, True
+            carried = at if keys[n - 1].as_py() == key else None
+            key, own = keys[n - 1].as_py(), np.flatnonzero(event & (start == start[-1]))
+            at = int(times[own[-1]]) if len(own) else carried
+            columns = [keys, batch.column("at"), batch.column("is_event"), pa.array(np.full(n, part)), pa.array(later, pa.int64(), mask=~has)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "at", "is_event", "part", "later"])
+
+    kind, path = events.schema["key"].dataType, run_dir(spark, "jumps")
+    told = rows.mapInArrow(answer, f"key {kind.simpleString()}, at long, is_event boolean, part long, later long")
+    told.write.parquet(path)
+    told = spark.read.schema(told.schema).parquet(path)
+    ends = told.filter("is_event").groupBy("part").agg(F.min(F.struct("key", "at")).alias("last")).collect()
+    known, before, last = {row.part: row["last"] for row in ends}, [], None
+    for part in range(max(known, default=-1) + 2):
+        if last is not None:
+            before.append((part, last["key"], last["at"]))
+        last = known.get(part, last)
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("last_key", kind), T.StructField("last_at", T.LongType())])
+    ranges = F.broadcast(spark.createDataFrame(before, schema))
+    later = F.coalesce("later", F.when(F.col("last_key") == F.col("key"), F.col("last_at")))
+    # An event read after another one is the one before it in time.
+    both = told.join(ranges, "part", "left").select(
         "key",
-        "slot",
-        F.last("low", ignorenulls=True).over(later).alias("slot_next"),
-        F.last("high", ignorenulls=True).over(earlier).alias("slot_prev"),
+        F.when(F.col("is_event"), later).otherwise(F.col("at") - step).alias("us"),
+        F.when(~F.col("is_event"), later).alias("next"),
+        F.when(F.col("is_event"), F.col("at")).alias("prev"),
     )
+    return both.filter("us IS NOT NULL").groupBy("key", "us").agg(F.max("next").alias("next"), F.max("prev").alias("prev"))
 
-    # Walking backwards, a question comes before the events at its own time,
-    # so that it only sees later ones.
-    down = W.partitionBy("key", "slot").orderBy(F.desc("at"), F.col("here").isNotNull())
-    up = W.partitionBy("key", "slot").orderBy("at", F.col("here").isNull())
-    found = (
-        rows.withColumn("in_next", F.last("here", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("in_prev", F.last("here", ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, -1)))
-        .join(around, ["key", "slot"])
-    )
-    asked = F.col("here").isNull()
-    return found.groupBy("key", "us", "id").agg(
-        F.max(F.when(asked, F.coalesce("in_next", "slot_next"))).alias("next"),
-        F.max(F.when(~asked, F.coalesce("in_prev", "slot_prev"))).alias("prev"),
-    )
+
+def _follow(level: DataFrame) -> DataFrame:
+    """The events taken of those left, key by key; the caller bounds their number."""
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("us")
+        times, to = rows.column("us").to_numpy(), rows.column("to").to_pylist()
+        taken, at = [], 0
+        while at < len(times):
+            taken.append(at)
+            at = int(times.searchsorted(to[at])) if to[at] is not None else len(times)
+        return rows.select(["key", "us"]).take(pa.array(taken))
+
+    return level.select("key", "us", "to").groupBy("key").applyInArrow(follow, level.select("key", "us").schema)
 
 
 def _accept_by_jumps(log: DataFrame, step: int, first: int, last: int) -> DataFrame:
@@ -136,20 +177,20 @@ def _accept_by_jumps(log: DataFrame, step: int, first: int, last: int) -> DataFr
     the jump of level ``j - 1``, done again if it ends in the other half.  So the
     levels shrink by half.  Going back down, the taken entry of each block yields
     the entry of its second half, until blocks hold one taken event each.
+
+    Once ``ROWS_AT_ONCE`` entries are left, they are followed at once.
     """
-    events = (
+    events = cut_lineage(
         log.groupBy("key", "us").agg(F.min("id").alias("id")).withColumn("us", F.col("us") - F.lit(first))
     )
     span = last - first + 1
-    linked = _jumps(events, step, max(span // SLOTS, 1))
-    level = cut_lineage(linked.select("key", "us", F.col("next").alias("to"), "prev", "id"))
-    ids = level.select("key", "us", "id")
+    level = cut_lineage(_jumps(events, step).select("key", "us", F.col("next").alias("to"), "prev"))
 
     def block(us: Column, size: int) -> Column:
         return us - us % F.lit(size)
 
-    size, jumps = step, []
-    while size < span:
+    size, jumps, left = step, [], level.count()
+    while size < span and left > ROWS_AT_ONCE:
         jumps.append((size, level.select("key", "us", "to")))
         size *= 2
         start = block(F.col("us"), size)
@@ -162,9 +203,15 @@ def _accept_by_jumps(log: DataFrame, step: int, first: int, last: int) -> DataFr
             )
         )
 
-    taken = level.filter(F.col("prev").isNull()).select("key", "us")
+        left = level.count()
+
+    if left <= ROWS_AT_ONCE:
+        # What is left of each key leads from one entry of its blocks to the next.
+        taken = cut_lineage(_follow(level))
+    else:
+        taken = level.filter(F.col("prev").isNull()).select("key", "us")
     for half, table in reversed(jumps):
         inside = block(F.col("to"), 2 * half) == block(F.col("us"), 2 * half)
         second = taken.join(table, ["key", "us"]).filter(inside).select("key", F.col("to").alias("us"))
         taken = cut_lineage(taken.unionByName(second))
-    return taken.join(ids, ["key", "us"]).select("key", (F.col("us") + F.lit(first)).alias("us"), "id")
+    return taken.join(events, ["key", "us"]).select("key", (F.col("us") + F.lit(first)).alias("us"), "id")

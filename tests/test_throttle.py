@@ -1,12 +1,16 @@
 """The throttle in batch and on streams."""
 
 import random
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
+from spindrift.operators import throttle as batch_throttle
 from spindrift.operators.throttle import throttle
 from spindrift.streaming.run import run_available
 from spindrift.streaming.throttle import stream_throttle
@@ -15,6 +19,21 @@ START = datetime(2024, 1, 1)
 SCHEMA = "key string, ts timestamp_ntz, id bigint"
 
 
+@contextmanager
+def paths_written():
+    found, parquet = [], DataFrameWriter.parquet
+
+    def write(self, path, *args, **kwargs):
+        found.append(path)
+        return parquet(self, path, *args, **kwargs)
+
+    DataFrameWriter.parquet = write
+    try:
+        yield found
+    finally:
+        DataFrameWriter.parquet = parquet
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(k, START + timedelta(seconds=s), i) for k, s, i in rows], SCHEMA)
 
@@ -44,7 +63,7 @@ def test_strict_delay(spark, hot_rows):
 
 
 @pytest.mark.parametrize("seed,n,span,delay", [(1, 400, 50, 7), (2, 300, 100_000, 10), (3, 300, 3, 60), (4, 500, 1000, 1.5)])
-def test_hot_keys_equal_brute_force(spark, seed, n, span, delay):
+def test_hot_keys_equal_brute_force(spark, seed, n, span, delay, monkeypatch):
     """One key holds most rows; dense, sparse, shorter than the delay, and with bursts."""
     rng = random.Random(seed)
     rows = [
@@ -52,6 +71,32 @@ def test_hot_keys_equal_brute_force(spark, seed, n, span, delay):
     ]
     for hot_rows in (0, n // 2):
         assert accepted(throttle(frame(spark, rows), "key", "ts", "id", delay, hot_rows)) == expected(rows, delay)
+    monkeypatch.setattr(batch_throttle, "ROWS_AT_ONCE", 20 * (seed % 2))  # several levels, then all of them
+    assert accepted(throttle(frame(spark, rows).repartition(5), "key", "ts", "id", delay, 0)) == expected(rows, delay)
+
+
+def test_a_burst_beside_a_stray_date_is_spread_over_tasks(spark, tmp_path):
+    """All events of a hot key within one second, and one a century away."""
+    n = 40_000
+    rows = spark.range(n).select(
+        F.lit("k").alias("key"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 25).alias("ts"), "id",
+    ).unionByName(spark.createDataFrame([("k", datetime(1924, 1, 1), -1)], "key string, ts timestamp, id long"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with paths_written() as written:
+            got = throttle(rows, "key", "ts", "id", 0.01, hot_rows=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    times, want, last = sorted(25 * i for i in range(n)), [-1], None
+    for i, t in enumerate(times):
+        if last is None or t > last + 10_000:
+            want.append(i)
+            last = t
+    assert sorted(r.id for r in got) == want
+    (jumps,) = [p for p in written if "/jumps-" in p]
+    sizes = [r["count"] for r in spark.read.parquet(jumps).groupBy("part").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.3 * sum(sizes)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
