@@ -25,6 +25,10 @@ DIM_SCHEMA = "id bigint, name string"
 # Rows that may be sent to every task.
 FEW_ROWS = 50_000
 
+# Length of the grams that names are indexed by, and the marks of a name's ends.
+GRAM = 3
+FIRST, LAST = "\x02", "\x03"
+
 
 def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[str | Column], out: str) -> DataFrame:
     """Rank rows from 1 by ``(bucket, order)`` without a window over the whole table.
@@ -198,10 +202,12 @@ def content_type_ids(dim: DataFrame, values: DataFrame) -> tuple[DataFrame, Data
 def match_domains(hosts: DataFrame, domain: DataFrame, pattern: bool = False) -> DataFrame:
     """Pairs of host and domain: equal in lower case, or ``name LIKE host`` with ``pattern``.
 
-    For the pattern form a host with wildcards is looked up by its longest run
-    of literal characters, and LIKE then decides.  With ``_`` alone the length
-    of the name and the place of the run are known, so a name is cut at the
-    places that hosts of its length ask for; with ``%`` the run may be anywhere.
+    For the pattern form a host with wildcards is looked up by some of its literal
+    characters, and LIKE then decides.  With ``_`` alone the length of the name
+    and the place of the longest run are known, so a name is cut at the places
+    that hosts of its length ask for.  With ``%`` a run may be anywhere: names
+    are indexed by the grams of ``GRAM`` characters at most that hosts ask for,
+    and each host is looked up by its rarest one.
     """
     wanted = hosts.select("host", F.lower("host").alias("_host")).filter(F.col("host").isNotNull()).distinct()
     names = domain.select(F.col("id").alias("domain_id"), "name", F.lower("name").alias("_name"))
@@ -231,7 +237,39 @@ def match_domains(hosts: DataFrame, domain: DataFrame, pattern: bool = False) ->
     cut = cut.withColumn("gram", F.substr("_name", F.col("_at"), F.col("_size")))
     placed = cut.join(fixed, [*shape, "gram"]).filter(like).select(result)
 
-    free = keyed.filter(F.contains("_host", F.lit("%")))
+    free = wanted.filter(F.contains("_host", F.lit("%"))).withColumn("gram", F.explode(_pattern_grams("_host")))
+    free = cut_lineage(free)
     lengths = free.agg(F.collect_set(F.length("gram"))).scalar()
-    anywhere = free.join(_substrings(names, "_name", lengths), "gram").filter(like).select(result)
+    marked = names.withColumn("_marked", F.concat(F.lit(FIRST), "_name", F.lit(LAST)))
+    asked = free.select("gram").distinct()
+    asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
+    index = cut_lineage(_substrings(marked, "_marked", lengths).join(asked, "gram", "left_semi").select("gram", "domain_id", "name", "_name"))
+    often = index.groupBy("gram").agg(F.count("*").alias("_n"))
+    # A host with a gram that no name has matches nothing.
+    rarest = (
+        free.join(often, "gram", "left").groupBy("host", "_host")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "gram")).gram.alias("gram"))
+    )
+    anywhere = rarest.join(index, "gram").filter(like).select(result)
     return equal.unionByName(placed).unionByName(anywhere)
+
+
+def _pattern_grams(host: str) -> Column:
+    """Substrings that a name which matches the pattern holds, all of one length: ``GRAM``, or less if no run is so long.
+
+    Runs at the pattern's ends are marked, as names are at theirs, so a gram may
+    tell its place.
+    """
+    runs = F.split(host, "[%_]", -1)
+    ends = F.transform(
+        runs,
+        lambda run, i: F.concat(
+            F.when((i == 0) & (run != ""), FIRST).otherwise(""), run, F.when((i == F.size(runs) - 1) & (run != ""), LAST).otherwise("")
+        ),
+    )
+    q = F.least(F.lit(GRAM), F.array_max(F.transform(ends, F.length)))
+    long_enough = F.filter(ends, lambda run: F.length(run) >= q)
+    cut = F.transform(
+        long_enough, lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - q + 1), lambda i: F.substr(run, i, q))
+    )
+    return F.array_distinct(F.flatten(cut))

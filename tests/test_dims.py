@@ -6,6 +6,7 @@ from datetime import datetime
 from hashlib import md5
 
 import pytest
+from compare import plans_cut
 from pyspark.sql import functions as F
 
 from spindrift.operators import dims, frontier, report, store
@@ -81,6 +82,7 @@ def test_content_types_equal_brute_force(spark):
 def test_domain_patterns_equal_brute_force(spark):
     known = ["a.com", "abc.com", "x_y.org", "x-y.org", "xay.org", "b\\c.net", "é.fr", "a.co.uk"]
     hosts = ["a.com", "A.COM", "_.com", "%", "%.org", "x_y.org", "___.com", "%a%", "_%", "b\\c.net", "_.fr", "no.such", "a._o%"]
+    hosts += ["%.c%m", "a%", "%m", "%xay%", "%zzz%", "_%y%", "%%", "b\\%", "%.org%g", "a%b%", "%uk", "%a_", "", "%\u00e9%"]
     domain = spark.createDataFrame([(i, n, NOW) for i, n in enumerate(known)], tables.STATE_SCHEMAS["domain"])
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
 
@@ -94,6 +96,19 @@ def test_domain_patterns_equal_brute_force(spark):
     assert equal == {(h, n) for h in hosts for n in known if n == h.lower()}
 
 
+def test_names_are_indexed_by_grams_that_hosts_ask_for(spark):
+    """No table of all substrings: of long names, only the grams asked for are kept."""
+    names = [(i, f"host{i:04}.{'x' * 200}.example", NOW) for i in range(300)]
+    domain = spark.createDataFrame(names, tables.STATE_SCHEMAS["domain"])
+    hosts = spark.createDataFrame([("%t0007%",), ("%xample",), ("%t01_7.%",), ("host02%",)], "host string")
+    with plans_cut() as found:
+        got = {(r.host, r.domain_id) for r in dims.match_domains(hosts, domain, pattern=True).collect()}
+    want = {("%t0007%", 7)} | {("%xample", i) for i in range(300)} | {("%t01_7.%", i) for i in range(107, 200, 10)}
+    assert got == want | {("host02%", i) for i in range(200, 300)}
+    index = [plan for plan in found if "_marked" in plan]
+    assert len(index) == 1 and "LeftSemi" in index[0]
+
+
 def queue(spark, data):
     return spark.createDataFrame(data, tables.STATE_SCHEMAS["queue"])
 
