@@ -28,8 +28,8 @@ PLACE = ["_file", "_row"]
 SIEVE_WORDS = 1 << 22
 BITS_PER_KEY, BITS_SET = 16, 4
 
-# Nodes that neither drop a row's place nor give it to several rows.
-KEEP_PLACES = re.compile(r"^[\s:+\-]*(Project|Filter|SubqueryAlias|View|Relation|LogicalRelation|ResolvedHint)\b")
+# Nodes that neither lose a row's place nor give it to several rows.
+KEEP_PLACES = re.compile(r"^[\s:+\-]*(Project|Filter|SubqueryAlias|View|Relation|LogicalRelation|ResolvedHint|Repartition)\b")
 
 
 def has_places(df: DataFrame) -> bool:

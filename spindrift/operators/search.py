@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.session import cut_lineage
+from spindrift.session import cut_lineage, spread
 from spindrift.sources.tables import layouts
 
 # Fixed value: what separates terms.
@@ -23,12 +23,45 @@ def postings(documents: DataFrame) -> DataFrame:
 
     Terms are counted per document before the shuffle.
     """
+    return _terms(documents).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+def _terms(documents: DataFrame) -> DataFrame:
     terms = F.explode(F.split(F.lower("text"), NOT_A_TERM))
-    return (
-        documents.select("doc_id", terms.alias("term"))
-        .filter(F.col("term") != "")
-        .groupBy("term", "doc_id")
-        .agg(F.count("*").alias("tf"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", terms.alias("term")).filter(F.col("term") != "")
+
+
+def index_documents(documents: DataFrame, path: str, buckets: int = INDEX_BUCKETS, segment: int = 0, spread_over: int = 8) -> None:
+    """A segment of a stored index from the texts, with one shuffle.
+
+    Terms are dealt by bucket, counted where they meet, and written there.  A
+    bucket is dealt out over ``spread_over`` tasks by document, so that a term
+    of every document is not counted by one.  Each increment of documents is a
+    segment of its own; a document lies in one segment.  Writing a segment again
+    replaces it.
+    """
+    bucket = term_bucket(F.col("term"), buckets)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(spread_over))
+    dealt = _terms(documents).withColumns({"bucket": bucket, "share": share}).repartition("bucket", "share")
+    counted = dealt.groupBy("bucket", "share", "term", "doc_id").agg(F.count("*").alias("tf")).drop("share")
+    _written(counted, f"{path}/segment={segment}", buckets)
+
+
+def merge_segments(spark: SparkSession, path: str, merged: str) -> None:
+    """All segments of an index as one, at a new place; readers of the old ones are not disturbed."""
+    stored = spark.read.parquet(path)
+    for n in layouts(stored):
+        rows = stored.filter(F.col("buckets") == n).select("bucket", "term", "doc_id", "tf")
+        _written(rows.hint("rebalance", "bucket"), f"{merged}/segment=0", n)
+
+
+def _written(rows: DataFrame, path: str, buckets: int) -> None:
+    (
+        rows.withColumn("buckets", F.lit(buckets))
+        .sortWithinPartitions("bucket", "term", "doc_id")
+        .write.mode("overwrite")
+        .partitionBy("buckets", "bucket")
+        .parquet(path)
     )
 
 

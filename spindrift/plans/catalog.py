@@ -561,9 +561,11 @@ def search_query(spark, directory):
 
 @query
 def stored_search(spark, directory):
-    """The same search in an index that was written by bucket and read back."""
+    """The same search in an index that was written by bucket in two segments, merged, and read back."""
     documents = table(spark, directory, "documents")
-    path = run_dir(spark, "index")
-    search.write_index(search.postings(documents), path, buckets=32)
+    path, merged = run_dir(spark, "index"), run_dir(spark, "merged-index")
+    for segment in (0, 1):
+        search.index_documents(documents.filter(F.pmod("doc_id", F.lit(2)) == segment), path, 32, segment)
+    search.merge_segments(spark, path, merged)
     n_docs = documents.agg(F.count("*").alias("n"))
-    return search.search(spark.read.parquet(path), n_docs, SEARCH_TERMS)
+    return search.search(spark.read.parquet(merged), n_docs, SEARCH_TERMS)

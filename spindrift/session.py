@@ -9,6 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Input for each core below which rows are dealt out anew.
+SPREAD_BYTES = 32 << 20
+
 # Runtime settings the plans rely on; all are ordinary Spark options.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,6 +76,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The rows dealt over all cores, if their tables (those of ``like``) are so small that a few tasks would read them.
+
+    Work on texts then keeps all cores busy; rows of large tables stay where
+    they are read.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = (df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+
+
 def side_by_side(*jobs: Callable) -> list:
     """What the functions give, each run in a thread of its own: small Spark jobs then fill the cluster together."""
     with ThreadPoolExecutor(max(1, len(jobs))) as pool:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from spindrift.functions.urls import url_host
 from spindrift.operators.fetches import OK_STATUS, newest_content
+from spindrift.session import spread
 
 # What a snapshot without response headers is taken to have answered.
 DEFAULT_HEADERS = {"status_line": OK_STATUS[0], "content_type": "text/html"}
@@ -74,7 +75,7 @@ def _with_headers(pages: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, directory: str) -> DataFrame:
     """Page snapshots; missing headers read as a successful HTML answer."""
-    return _with_headers(spark.read.parquet(table_path(directory, "pages")))
+    return _with_headers(spread(spark.read.parquet(table_path(directory, "pages"))))
 
 
 def stream_pages(

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from compare import plans_cut
 from pyspark.sql import functions as F
 
 from spindrift.operators import dims, frontier, links, robots, search, structure
@@ -52,6 +53,26 @@ def test_stored_index_is_read_by_bucket(spark, tmp_path):
     assert [r.doc_id for r in fresh.collect()] == [1, 2]
 
 
+def test_index_takes_one_exchange(spark, tmp_path):
+    """From texts to the stored segment, terms are shuffled once; repeated rows of a document are counted together."""
+    rows = [(1, "a b b"), (2, "b c"), (3, "A, d!"), (3, "a e"), (4, None), (None, "b")]
+    path, merged = str(tmp_path / "index"), str(tmp_path / "merged")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    documents = spark.read.parquet(str(tmp_path / "d"))
+    with plans_cut() as found:
+        search.index_documents(documents.filter("doc_id IS NULL OR doc_id < 3"), path, 8, 0)
+        search.index_documents(documents.filter("doc_id >= 3"), path, 8, 1)
+        search.index_documents(documents.filter("doc_id >= 3"), path, 8, 1)
+    assert all(text.count("Exchange hashpartitioning") == 1 for text in found) and len(found) == 3
+    search.merge_segments(spark, path, merged)
+    want = sorted(map(tuple, search.postings(documents).collect()), key=str)
+    for place in (path, merged):
+        stored = spark.read.parquet(place)
+        assert sorted(map(tuple, stored.select("term", "doc_id", "tf").collect()), key=str) == want
+        n_docs = documents.agg(F.count("*").alias("n"))
+        assert search.search(stored, n_docs, ["a", "B"], 2).collect() == search.search(search.postings(documents), n_docs, ["a", "B"], 2).collect()
+
+
 def test_pages_are_read_by_bucket(spark, tmp_path):
     """A step reads only the folders of a bucketed snapshot that its batch falls in."""
     from spindrift.plans.crawl import _fetch
