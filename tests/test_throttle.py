@@ -123,6 +123,24 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     assert accepted(run_available(stream, "t", str(tmp_path / "out"))) == expected(rows, 20)
 
 
+def test_stream_takes_a_large_key_in_pieces(spark, tmp_path):
+    """One key holds a whole micro-batch, without order; pieces, blocks and runs are small."""
+    rng = random.Random(8)
+    rows = [("k", rng.randrange(3000), i) for i in range(1500)] + [("j", 5, 9000)]
+    rng.shuffle(rows)
+    write_batches(spark, tmp_path / "in", [rows])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "60")
+    try:
+        for number, options in enumerate([{"block_rows": 7, "most_runs": 3}, {}]):
+            events = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+            stream = stream_throttle(events, "key", "ts", "id", 11, "1 day", **options)
+            assert accepted(run_available(stream, "t", str(tmp_path / f"out{number}"))) == expected(rows, 11)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stream_goes_on_and_drops_late_events(spark, tmp_path):
     def run():
         events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
