@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batch_of, crc_mod, tidy, utf8
+from spindrift.llm.common import batch_of, crc_mod, release, tidy, utf8
 
 SAMPLE = 2_000
+FIT_TERMS = 2048
 RANK = 64
 NEIGHBOURS = 25
 POWER = 4
@@ -96,15 +97,22 @@ class Model:
 def fit(weights: np.ndarray, labels: np.ndarray) -> Model:
     if not len(labels):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
-    rarity = np.log(1 + len(labels) / (1 + (weights > 0).sum(axis=0))).astype(np.float32)
+    # In blocks of terms: the driver holds the weights once.
+    blocks = [slice(at, at + FIT_TERMS) for at in range(0, TERMS, FIT_TERMS)]
+    rarity = np.log(1 + len(labels) / (1 + np.concatenate([(weights[:, b] > 0).sum(axis=0) for b in blocks]))).astype(np.float32)
     rarity[-2:] = 1
-    scaled = weights * rarity
     # The right singular vectors, by way of the smaller Gram matrix of rows.
-    values, left = np.linalg.eigh((scaled @ scaled.T).astype(np.float64))
-    values, left = values[::-1][:RANK], left[:, ::-1][:, :RANK]
+    gram = np.zeros((len(labels), len(labels)))
+    for b in blocks:
+        scaled = weights[:, b] * rarity[b]
+        gram += scaled @ scaled.T
+    values, left = np.linalg.eigh(gram)
+    values, left = values[::-1][:RANK], left[:, ::-1][:, :RANK].copy()
+    del gram
     good = values > max(values[0], 1e-12) * 1e-9
-    right = scaled.T @ (left[:, good] / np.sqrt(values[good])).astype(np.float32)
-    model = Model(rarity[:, None] * right, np.zeros((0, 1), np.float32), labels)
+    left = (left[:, good] / np.sqrt(values[good])).astype(np.float32)
+    space = np.concatenate([rarity[b, None] ** 2 * (weights[:, b].T @ left) for b in blocks])
+    model = Model(space, np.zeros((0, 1), np.float32), labels)
     model.voters = model.vectors(weights)
     return model
 
@@ -135,15 +143,24 @@ def voters(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, n
         own.mapInArrow(tidy(run), "doc_id long, label double, place binary, weight binary")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     )
+    found = np.array([r.label for r in rows])
     weights = np.zeros((len(rows), TERMS), np.float32)
-    for out, row in zip(weights, rows):
+    for out in weights[::-1]:
+        row = rows.pop()
         out[np.frombuffer(row.place, np.int32)] = np.frombuffer(row.weight, np.float32)
-    return weights, np.array([r.label for r in rows])
+    return weights, found
+
+
+def broadcast_model(learn_from: DataFrame, labels: DataFrame, most: int):
+    """The fitted model at every task; what the driver needed to fit it is given back."""
+    model = learn_from.sparkSession.sparkContext.broadcast(fit(*voters(learn_from, labels, most)))
+    release()
+    return model
 
 
 def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Add ``score`` to rows that have ``text``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(*voters(learn_from, labels, most)))
+    model = broadcast_model(learn_from, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +187,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are not rejected, with their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(*voters(training_fold(docs), training_fold(labels), SAMPLE)))
+    model = broadcast_model(training_fold(docs), training_fold(labels), SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
