@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import batch_of, sliced, tidy, written
+from spindrift.llm.vocabularies import is_plain
 
 MAX_TOKENS = 1024
 EOS = 2
@@ -68,8 +69,9 @@ def tokenizer_path() -> str:
 class CachedTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    A text is cut before its single spaces, where no word of the pattern can
-    reach across, and each part is tokenized once while the cache has room.
+    A plain text is cut before its single spaces, where no word of the pattern
+    can reach across, and each part is tokenized once while the cache has room.
+    Other texts go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -139,6 +141,8 @@ class CachedTokenizer:
         return b"".join(made)
 
     def ids(self, text: str) -> bytes:
+        if not is_plain(text):  # the tokenizer alone knows its classes of these characters
+            return array("I", self.tokenizer_ids(text)).tobytes()
         if not self.any_special or not self.any_special.search(text):
             return self.plain(text)
         made, at = [], 0
