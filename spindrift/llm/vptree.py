@@ -39,6 +39,7 @@ SHARD_ROWS = 16_384
 BLOCK_ROWS = 512
 LEAF = 128
 FACTOR = 1.5
+PAIRS_AT_ONCE = 1 << 14
 SLACK = 1e-9
 
 
@@ -81,6 +82,15 @@ class Tree:
         return pickle.dumps((*kept, self.most, nodes), protocol=5)
 
 
+def exact_products(x: np.ndarray, rows: np.ndarray, y: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows; equal vectors give equal products."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        out[part] = (x[rows[part]] * y[columns[part]]).sum(axis=1)
+    return out
+
+
 class Search:
     """One block of queries against one packed tree."""
 
@@ -98,9 +108,14 @@ class Search:
 
     def leaf(self, who: np.ndarray, start: int, end: int) -> None:
         self.looked += len(who) * (end - start)
+        last = self.score[who, -1]
         score = self.queries[who] @ self.vectors[start:end].T
-        good = (score >= self.score[who, -1][:, None]) & (self.ids[start:end] != self.own[who][:, None])
-        row, column = np.nonzero(good)
+        near = score >= (last - SLACK * (1 + np.abs(last)))[:, None]
+        row, column = np.nonzero(near & (self.ids[start:end] != self.own[who][:, None]))
+        # Products of blocks round by the blocks' shape; those that count are summed one by one in one order.
+        score[row, column] = exact_products(self.queries, who[row], self.vectors, start + column)
+        kept = score[row, column] >= last[row]
+        row, column = row[kept], column[kept]
         if not len(row):
             return
         some, n = np.unique(row, return_counts=True)
