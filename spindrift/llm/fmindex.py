@@ -257,9 +257,25 @@ def merged(old: dict, new: tuple) -> tuple:
     return n, [a for a, _ in spans], [b for _, b in spans], sorted({*old["items"], *items})
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+def item_pieces(benchmark: DataFrame, window: int, piece_bytes: int) -> DataFrame:
+    """(item_id, text): different items once, very long ones as pieces that hold all their windows between them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    # A word has two bytes at least with what parts it from the next.
+    most = max(1, piece_bytes // 16)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - window), F.lit(most))
+    cut = F.transform(starts, lambda at: F.array_join(F.slice("words", at + 1, F.lit(most + window - 1)), " "))
+    long_item = F.octet_length("text") > piece_bytes
+    short = items.filter(~long_item)
+    pieces = items.filter(long_item).select("item_id", words.alias("words")).select("item_id", F.explode(cut).alias("text"))
+    return short.unionByName(pieces.distinct())
+
+
+def item_blocks(
+    benchmark: DataFrame, block_bytes: int, window: int = WINDOW
+) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items of the benchmark, about ``block_bytes`` of text at a time; at least one block."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    items = item_pieces(benchmark, window, max(64, block_bytes // 8))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -272,7 +288,7 @@ def with_hits(
 ) -> DataFrame:
     """Add ``hits``, to rows without such a column: number of words, spans of words that benchmark windows cover, and the items they belong to."""
     done = False
-    for items in item_blocks(benchmark, block_bytes):
+    for items in item_blocks(benchmark, block_bytes, window):
         docs = hit_pass(written(docs, "hits") if done else docs, items, window)
         done = True
     return docs
@@ -311,7 +327,7 @@ def decontaminate(
     schema = docs.schema
     names = schema.names
     marked = docs.select(F.struct(*names).alias("row"))
-    *earlier, last = item_blocks(benchmark, block_bytes)
+    *earlier, last = item_blocks(benchmark, block_bytes, window)
     for items in earlier:
         marked = written(hit_pass(marked, items, window), "hits")
     shared = docs.sparkSession.sparkContext.broadcast(Phrases(last, window))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import components, hmm, packing, quality, repeats, setjoin, shards, simhash, vptree
+from spindrift.llm import components, fmindex, hmm, packing, quality, repeats, setjoin, shards, simhash, vptree
 from spindrift.llm.catalog import QUERIES
 from spindrift.llm.common import identified, table
 from spindrift.llm.fmindex import contamination, decontaminate, with_hits
@@ -262,6 +262,25 @@ def test_repeats(hostile, nothing, limits):
     assert rows_of(repeats.repeat_report(nothing)) == []
 
 
+def test_benchmark_blocks_are_bounded(spark):
+    """Repeated rows are one item; an item larger than a block goes as pieces that hold all its windows."""
+    rng = random.Random(7)
+    giant = " ".join(f"w{rng.randrange(500)}" for _ in range(4000))
+    rows = [("a", "one two three four five six seven eight nine ten eleven")] * 500 + [("g", giant), ("s", "short item"), ("n", None), (None, giant[:200])]
+    benchmark = spark.createDataFrame(rows, "item_id string, text string")
+    blocks = list(fmindex.item_blocks(benchmark, 2000, 10))
+    assert sum(len(b) for b in blocks) < 400
+    assert max(sum(len(t) for _, t in b) for b in blocks) < 4000
+    windows = {(i, tuple(w[k : k + 10])) for b in blocks for i, t in b if i == "g" for w in [t.decode().split()] for k in range(len(w) - 9)}
+    whole = giant.split()
+    assert windows == {("g", tuple(whole[k : k + 10])) for k in range(len(whole) - 9)}
+    texts = [giant[3000:3400], "x one two three four five six seven eight nine ten y", "a short item b", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = with_hits(docs, benchmark).select("doc_id", "hits.*").collect()
+    many = with_hits(docs, benchmark, block_bytes=2000).select("doc_id", "hits.*").collect()
+    assert sorted(one) == sorted(many) and [len(r.starts) for r in sorted(one)] == [1, 1, 1, 0]
+
+
 def test_repeats_of_documents(spark):
     docs = table(spark, SMALL, "documents")
     want = brute_repeats(rows_of(docs.select("doc_id", "text")), 100)

@@ -26,6 +26,18 @@ def test_cached_tokens_are_the_tokenizers():
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == want, text
 
 
+def test_tokens_of_any_characters_are_the_tokenizers():
+    """Controls, all planes, special tokens, and what the quick way takes."""
+    rng = random.Random(9)
+    tokens = packing.CachedTokenizer(packing.tokenizer_path())
+    everything = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    alphabets = [everything, [chr(c) for c in range(0x300)], list("it's a\x1c\x1d\x1e\x1f\x85 \t\n"), list("ab é1.'s \n") + ["<|endoftext|>", "‘", "—"]]
+    for n in range(20_000):
+        text = "".join(rng.choices(alphabets[n % 4], k=rng.randint(1, 25)))
+        want = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == want, repr(text)
+
+
 def fewest_bins(items: list[int], size: int) -> int:
     best = len(items)
 
@@ -319,3 +331,19 @@ def test_capacity_is_settled_with_heavy_groups(heavy, slices, monkeypatch):
     assert shards.settle(known, 16, look) == shards.smallest_capacity(sizes, 16)
     assert len(rounds) <= 20
     assert set(known.ends) <= {0, *ends.tolist()}
+
+
+def test_equal_vectors_have_equal_scores_in_every_leaf():
+    rng = np.random.default_rng(4)
+    few = rng.normal(size=(40, 64)).astype(np.float32)
+    vectors = few[rng.integers(0, 40, 3000)]
+    q = vectors[::20].astype(np.float64)
+    for size in (7, 33, 250):
+        for at in range(0, 3000 - size, 700):
+            rows, columns = np.divmod(np.arange(len(q) * size), size)
+            got = vptree.exact_products(q, rows, vectors[at : at + size].astype(np.float64), columns).reshape(len(q), size)
+            same = {}
+            for i in range(len(q)):
+                for j in range(size):
+                    key = q[i].tobytes(), vectors[at + j].tobytes()
+                    assert same.setdefault(key, got[i, j]) == got[i, j]
