@@ -50,10 +50,15 @@ def mixed_html() -> str:
     return html
 
 
+# The link pattern and the pattern of robots lines, as DuckDB writes them.
+LINK = """(?i)<a.+?href=("|'')(.+?)("|'')"""
+DIRECTIVE = "(?i)^((dis)?allow|user-agent)[^:]*:.+"
+
+
 def found(pages: str) -> str:
     return f"""SELECT page_id, url, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS pos, unnest(h) AS href
     FROM (SELECT page_id, url,
-          regexp_extract_all(html, '(?i)<a.+?href=("|'')(.+?)("|'')', 2) AS h FROM {pages})"""
+          regexp_extract_all(html, '{LINK}', 2) AS h FROM {pages})"""
 
 
 def resolved(links: str) -> str:
@@ -193,7 +198,9 @@ COMMON = {
           CAST(generate_subscripts(string_split(body, chr(10)), 1) - 1 AS INTEGER) AS pos FROM robots)""",
     "fields": """SELECT host, pos, lower(trim(split_part(text, ':', 1))) AS field,
         trim(split_part(text, ':', 2)) AS pattern
-      FROM lines WHERE regexp_matches(text, '(?i)^((dis)?allow|user-agent)[^:]*:.+')""",
+      FROM lines WHERE regexp_matches(text, '"""
+    + DIRECTIVE
+    + """')""",
     "owned": """SELECT *, last_value(CASE WHEN field = 'user-agent' THEN pattern END IGNORE NULLS)
         OVER (PARTITION BY host ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS agent
       FROM fields""",
