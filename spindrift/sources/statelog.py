@@ -218,7 +218,7 @@ def load_version(spark: SparkSession, directory: str, version: int) -> CrawlStat
             rows = rows.join(removed.select("id"), "id", "left_anti").select(*columns)
         return rows
 
-    return CrawlState(**{name: load(name) for name in STATE_SCHEMAS})
+    return CrawlState(**{name: load(name) for name in STATE_SCHEMAS}, marks_tell=True)
 
 
 def compact(spark: SparkSession, directory: str, version: int) -> None:

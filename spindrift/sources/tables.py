@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,15 +46,18 @@ class CrawlState:
     url: DataFrame
     tried: DataFrame
     marks: DataFrame | None = None
+    marks_tell: bool = False  # marks have followed every change, so the queue need not be asked
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        return {name: getattr(self, name) for name in STATE_SCHEMAS if getattr(self, name) is not None}
 
     def last_id(self) -> Column:
-        """The largest id ever given in the queue; the queue itself is asked only where there are no marks."""
+        """The largest id ever given in the queue."""
+        none = F.lit(0).cast("bigint")
+        held = none if self.marks_tell else self.queue.agg(F.coalesce(F.max("id"), none)).scalar()
         if self.marks is None:
-            return self.queue.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
-        return F.coalesce(self.marks.filter("name = 'queue'").agg(F.max("last")).scalar(), F.lit(0).cast("bigint"))
+            return held
+        return F.greatest(held, F.coalesce(self.marks.filter("name = 'queue'").agg(F.max("last")).scalar(), none))
 
     def marked(self) -> CrawlState:
         """The state with its mark as a table."""
