@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import batch_of, sliced, tidy, written
-from spindrift.llm.vocabularies import is_plain
+from spindrift.llm.vocabularies import PLAIN
 
 MAX_TOKENS = 1024
 EOS = 2
@@ -141,7 +141,7 @@ class CachedTokenizer:
         return b"".join(made)
 
     def ids(self, text: str) -> bytes:
-        if not is_plain(text):  # the tokenizer alone knows its classes of these characters
+        if PLAIN.fullmatch(text) is None:  # the tokenizer alone knows its classes of these characters
             return array("I", self.tokenizer_ids(text)).tobytes()
         if not self.any_special or not self.any_special.search(text):
             return self.plain(text)
