@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
 INDEX_BUCKETS = 256
 
+# Bytes of text whose terms one task deals out, and whose terms one task counts on average.
+DEALT_BYTES = 16 << 20
+COUNTED_BYTES = 1 << 20
+
 
 def postings(documents: DataFrame) -> DataFrame:
     """``term, doc_id, tf``: how often each term occurs in each document.
@@ -27,26 +32,50 @@ def postings(documents: DataFrame) -> DataFrame:
 
 
 def _terms(documents: DataFrame) -> DataFrame:
+    return _split(spread(documents.select("doc_id", "text")))
+
+
+def _split(texts: DataFrame) -> DataFrame:
     terms = F.explode(F.split(F.lower("text"), NOT_A_TERM))
-    return spread(documents.select("doc_id", "text")).select("doc_id", terms.alias("term")).filter(F.col("term") != "")
+    return texts.select("doc_id", terms.alias("term")).filter(F.col("term") != "")
 
 
 def index_documents(documents: DataFrame, path: str, buckets: int = INDEX_BUCKETS, segment: int = 0, spread_over: int = 8) -> None:
-    """A segment of a stored index from the texts, with one shuffle.
+    """A segment of a stored index from the texts; their terms are shuffled once.
 
     Terms are dealt by bucket, counted where they meet, and written there.  A
-    bucket is dealt out over ``spread_over`` tasks by document, so that a term
-    of every document is not counted by one.  Each increment of documents is a
-    segment of its own; a document lies in one segment.  Writing a segment again
-    replaces it.
+    bucket is dealt out over ``spread_over`` shares by document, so that a term
+    of every document is not counted by one task.  Large texts take more shares
+    and tasks, so that what a task holds does not grow with them; their bytes
+    are summed up first.  Each increment of documents is a segment of its own; a
+    document lies in one segment.  Writing a segment again replaces it.
     """
+    texts, size = _dealt(documents.select("doc_id", "text"))
+    tasks = ceil(size / COUNTED_BYTES)
+    # Half as many pairs of bucket and share as tasks: few pairs then fall to the same task.
+    shares = max(spread_over, ceil(tasks / (2 * buckets)))
     bucket = term_bucket(F.col("term"), buckets)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(spread_over))
-    dealt = _terms(documents).withColumns({"bucket": bucket, "share": share}).repartition("bucket", "share")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(shares))
+    rows = _split(texts).withColumns({"bucket": bucket, "share": share})
+    dealt = rows.repartition(max(tasks, _cores(documents)), "bucket", "share")
     counted = dealt.groupBy("bucket", "share", "term", "doc_id").agg(F.count("*").alias("tf")).drop("share")
     _written(counted, f"{path}/segment={segment}", buckets)
 
 
+def _dealt(texts: DataFrame) -> tuple[DataFrame, int]:
+    """The texts, dealt out anew if there are fewer partitions than cores or one holds too much, and their bytes."""
+    held = texts.groupBy(F.spark_partition_id().alias("part")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    found = held.agg(F.count("*").alias("parts"), F.sum("bytes").alias("size"), F.max("bytes").alias("most")).first()
+    size, cores = found.size or 0, _cores(texts)
+    if found.parts < cores or found.most > DEALT_BYTES:
+        texts = texts.repartition(max(cores, ceil(size / DEALT_BYTES)))
+    return texts, size
+
+
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def merge_segments(spark: SparkSession, path: str, merged: str) -> None:
     """All segments of an index as one, at a new place; readers of the old ones are not disturbed."""
     stored = spark.read.parquet(path)

@@ -73,6 +73,38 @@ def test_index_takes_one_exchange(spark, tmp_path):
         assert search.search(stored, n_docs, ["a", "B"], 2).collect() == search.search(search.postings(documents), n_docs, ["a", "B"], 2).collect()
 
 
+def test_what_a_task_counts_does_not_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """Larger texts take more tasks to deal out and to count their terms; rows of one document still meet."""
+    monkeypatch.setattr(search, "DEALT_BYTES", 8000, raising=False)
+    monkeypatch.setattr(search, "COUNTED_BYTES", 500, raising=False)
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i) % 61)), " ")
+    texts = spark.range(0, 1200, 1, 12).select(F.when(F.col("id") > 0, F.col("id") % 1000).alias("doc_id"), words.alias("text"))
+    texts.write.parquet(str(tmp_path / "d"))
+    documents = spark.read.parquet(str(tmp_path / "d"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    with plans_cut() as found:
+        search.index_documents(documents, str(tmp_path / "index"), 2)
+    [text] = found
+    assert text.count("Exchange hashpartitioning") == 1
+    assert int(re.search(r"RoundRobinPartitioning\((\d+)\)", text)[1]) >= size / 8000
+    assert int(re.search(r"hashpartitioning\(bucket#\d+, share#\w+, (\d+)\)", text)[1]) >= size / 500
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    want = sorted(map(tuple, search.postings(documents).collect()), key=str)
+    assert sorted(map(tuple, stored.select("term", "doc_id", "tf").collect()), key=str) == want
+    # Two buckets over eight shares would leave at least a sixteenth of all rows in one file.
+    most = stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most < len(want) / 16
+
+
+def test_an_index_of_no_texts_is_empty(spark, tmp_path):
+    nothing = spark.createDataFrame([(1, None), (None, "")], "doc_id bigint, text string")
+    documents = spark.createDataFrame([(2, "a")], "doc_id bigint, text string")
+    for segment, rows in enumerate((nothing, nothing.limit(0), documents)):
+        search.index_documents(rows, str(tmp_path / "index"), 4, segment)
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert [tuple(r) for r in stored.select("term", "doc_id", "tf").collect()] == [("a", 2, 1)]
+
+
 def test_pages_are_read_by_bucket(spark, tmp_path):
     """A step reads only the folders of a bucketed snapshot that its batch falls in."""
     from spindrift.plans.crawl import _fetch
