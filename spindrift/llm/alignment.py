@@ -9,6 +9,11 @@ group.  Pairs are counted by ``Table.group_by`` for a slice, and Spark adds the
 counts of all slices up.  A slice then gets back the sums of its own pairs, not
 those of all.
 
+A slice is aligned in parts, so that a worker holds the tokens of one part only.
+Its links are bytes, as wide as the number of its pairs asks for, and it comes
+back to a worker alone: what a task holds outside of the JVM's heap follows
+``SLICE_BYTES``, whatever the size of a partition, a page or a batch of rows.
+
 Long texts are given to the tokenizers in sections, cut where neither joins
 anything over the cut: before a single space between an ASCII letter or digit
 and an ASCII letter.  Tokens, groups and links are the same as without cuts.
@@ -38,6 +43,7 @@ from spindrift.llm.common import batch_of, sliced, tidy, written
 from spindrift.llm.vocabularies import ByteVocabulary, PieceVocabulary
 
 SLICE_BYTES = 2 << 20
+PART_BYTES = 1 << 18
 SECTION_CHARS = 1 << 18
 LOW = (1 << 32) - 1
 CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
@@ -49,8 +55,10 @@ GROUPS = pa.schema(
 SLICE = pa.schema(
     [("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())),
      ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())), ("sha", pa.list_(pa.string())),
-     ("links", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+     ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
 )
+# A row of slices is some MB: pages and row groups are looked at after each, not after a hundred.
+STORED = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 
 
 def paths() -> tuple[str, str]:
@@ -207,31 +215,43 @@ def token_groups(docs: DataFrame, a_path: str | None = None, b_path: str | None
     )
 
 
+def width(n: int) -> type[np.unsignedinteger]:
+    """The smallest kind of number for places in a list of ``n``."""
+    return next(kind for kind in (np.uint8, np.uint16, np.uint32) if n <= np.iinfo(kind).max + 1)
+
+
+def slice_row(number: int, batch: pa.RecordBatch, tools: Tokenizers) -> pa.RecordBatch:
+    """The row of one slice; its texts are aligned part by part."""
+    pairs, counts, shas = [], [], []
+    for part in sliced([batch], "text", PART_BYTES):
+        own = Aligned.of(part.column("text").to_pylist(), tools)
+        pairs.append(own.pairs())
+        counts.append(own.counts())
+        shas += own.digests(tools)
+    found = pa.array(np.concatenate(pairs))
+    counted = pa.table({"pair": found}).group_by("pair", use_threads=False).aggregate([("pair", "count")]).combine_chunks()
+    known = counted.column("pair").combine_chunks()
+    links = pc.index_in(found, value_set=known).to_numpy().astype(width(len(known)))
+    return batch_of(
+        SLICE, [number], [batch.column("doc_id").to_pylist()], *([np.concatenate(x)] for x in zip(*counts)), [shas],
+        [links.tobytes()], pa.ListArray.from_arrays([0, len(known)], known), [counted.column("pair_count").to_numpy()],
+    )
+
+
 def slices(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Documents as slices: what is known of each, and the different pairs of the slice with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, number = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32
-        for batch in sliced(batches, "text", SLICE_BYTES):
-            own = Aligned.of(batch.column("text").to_pylist(), tools)
-            pairs = pa.array(own.pairs())
-            counted = pa.table({"pair": pairs}).group_by("pair", use_threads=False).aggregate([("pair", "count")]).combine_chunks()
-            known = counted.column("pair").combine_chunks()
-            links = pc.index_in(pairs, value_set=known)
-            n_a, n_b, n_groups, n_links = own.counts()
-            yield batch_of(
-                SLICE, [number], [batch.column("doc_id").to_pylist()], [n_a], [n_b], [n_groups], [n_links],
-                [own.digests(tools)], pa.ListArray.from_arrays([0, len(links)], links),
-                pa.ListArray.from_arrays([0, len(known)], known), [counted.column("pair_count").to_numpy()],
-            )
-            number += 1
+        tools, first = tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(sliced(batches, "text", SLICE_BYTES), first):
+            yield slice_row(number, batch, tools)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         tidy(run),
         "slice long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-        "sha array<string>, links array<int>, pairs array<long>, counts array<long>",
+        "sha array<string>, links binary, pairs array<long>, counts array<long>",
     )
-    return written(rows, "aligned-slices")
+    return written(rows, "aligned-slices", **STORED)
 
 
 def counted_pairs(held: DataFrame) -> DataFrame:
@@ -262,21 +282,20 @@ def alignment_report(docs: DataFrame, a_path: str | None = None, b_path: str | N
          ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].values for name in batch.schema.names}
-                told = row["told"].to_numpy() if row["told"] is not None else np.empty(0, np.int64)
-                n_links = row["n_links"].to_numpy()
-                own = told[row["links"].to_numpy()]  # a negative count marks the most frequent
-                ends = cumulative(n_links)
-                best, counts = cumulative(own < 0)[ends], cumulative(np.abs(own))[ends]
-                yield batch_of(
-                    out, row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], np.diff(best), np.diff(counts), row["sha"]
-                )
+    def run(held: pa.Table) -> pa.Table:
+        [row] = held.to_batches()
+        of = {name: row.column(name)[0].values for name in ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "sha", "told")}
+        told = of["told"].to_numpy() if of["told"] is not None else np.empty(0, np.int64)
+        links = np.frombuffer(row.column("links")[0].as_buffer(), width(len(told)))
+        own = told[links]  # a negative count marks the most frequent
+        ends = cumulative(of["n_links"].to_numpy())
+        best, counts = cumulative(own < 0)[ends], cumulative(np.abs(own))[ends]
+        return pa.Table.from_batches(
+            [batch_of(out, of["doc_ids"], of["n_a"], of["n_b"], of["n_groups"], of["n_links"], np.diff(best), np.diff(counts), of["sha"])]
+        )
 
     small = held.select("slice", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "sha", "links")
-    return small.join(answers, "slice", "left").drop("slice").mapInArrow(
-        tidy(run),
-        "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
+    # The join has brought the slices together already; a group is one slice, and a worker gets one after the other.
+    return small.join(answers, "slice", "left").groupBy("slice").applyInArrow(
+        run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     )

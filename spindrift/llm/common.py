@@ -23,10 +23,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(directory, name))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows as a table in the shared folder, so that later steps neither compute nor shuffle them again.
 
-    The shuffle files behind the write go as soon as it is done.
+    The shuffle files behind the write go as soon as it is done; ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from spindrift.llm import alignment
@@ -123,6 +126,56 @@ def test_sections_change_nothing(tools, monkeypatch):
     assert cut.a == whole.a and cut.b == whole.b and cut.digests(tools) == whole.digests(tools)
 
 
+def test_a_worker_aligns_a_slice_in_parts(spark, tools, monkeypatch):
+    """Only the tokens of a part are held, and a link takes no more bytes than the number of pairs asks for."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "Out", "é", "x1", "don't", "日本", "tokenizer"], k=30))) for i in range(60)]
+    counts, want = brute(tools, rows)
+    runs, sizes, of = [], [], Aligned.of
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(alignment, "PART_BYTES", 1000, raising=False)
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(alignment, "written", lambda *_, **__: None)
+    monkeypatch.setattr(Aligned, "of", lambda texts, tools: sizes.append(sum(len(t.encode()) for t in texts)) or of(texts, tools))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    alignment.slices(df, *paths())
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows])
+    found = [b.to_pylist()[0] for b in runs[0](iter([batch]))]
+    assert max(sizes) <= 1000 and 1 < len(found) < len(sizes)
+    assert [r["slice"] for r in found] == [(3 << 32) + i for i in range(len(found))]
+    known = Counter()
+    for r in found:
+        assert len(r["links"]) == sum(r["n_links"]) and len(r["pairs"]) <= 256
+        held = Counter(r["pairs"][i] for i in r["links"])
+        assert held == dict(zip(r["pairs"], r["counts"]))
+        known += held
+    assert known == {a << 32 | b: n for (a, b), n in counts.items()}
+    names = ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "sha")
+    assert [t for r in found for t in zip(*(r[n] for n in names))] == [(*w[:5], w[7]) for w in want]
+
+
+def test_links_are_as_wide_as_their_pairs_ask_for():
+    assert [alignment.width(n)(0).itemsize for n in (0, 1, 256, 257, 65536, 65537, 1 << 32)] == [1, 1, 1, 2, 2, 4, 4]
+
+
+def test_slices_are_stored_in_small_groups_and_come_back_alone(spark, tools, monkeypatch):
+    rng = random.Random(6)
+    words = ["the", "Out", "é", "x1", "don't", "日本", "a.b", "tokenizer"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 400)))) for i in range(200)]
+    at, store = [], alignment.written
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(alignment, "STORED", {**getattr(alignment, "STORED", {}), "parquet.block.size": "20000"}, raising=False)
+    monkeypatch.setattr(alignment, "written", lambda df, name, **options: at.append(store(df, name, **options)) or at[-1])
+    report = alignment_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")
+    [path] = at[0].inputFiles()
+    held = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert held.num_rows > 20 and held.num_row_groups > 2
+    assert sorted(tuple(r) for r in report.select(*COLUMNS).collect()) == sorted(brute(tools, rows)[1])
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment_report(df).columns == COLUMNS and alignment_report(df).count() == 0
