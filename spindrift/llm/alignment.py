@@ -11,8 +11,8 @@ those of all.
 
 A slice is aligned in parts, so that a worker holds the tokens of one part only.
 Its links are bytes, as wide as the number of its pairs asks for, and it comes
-back to a worker alone: what a task holds outside of the JVM's heap follows
-``SLICE_BYTES``, whatever the size of a partition, a page or a batch of rows.
+back to a worker alone: besides the batch of texts that Spark sends, what a task
+holds outside of the JVM's heap follows ``SLICE_BYTES``, not a partition's size.
 
 Long texts are given to the tokenizers in sections, cut where neither joins
 anything over the cut: before a single space between an ASCII letter or digit
